@@ -23,6 +23,7 @@ from __future__ import annotations
 import gc
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -36,7 +37,9 @@ SAMPLE_ROWS = 8000
 THRESHOLD = 0.7
 WINDOW = 24
 STEM, LONGEST, MOST_ENTRIES = 4, 16, 2000
-PURE, SUPPORT = 0.9, 0.004
+#: Least share of toxic documents of those with an entry, least share of toxic documents that have it, and in how many
+#: surroundings it must occur: copies of one document are no evidence that its words are toxic.
+PURE, SUPPORT, VARIED = 0.9, 0.02, 8
 MEMORY_WORDS = 300_000
 TOKEN = re.compile(r"[\w@$]+")
 #: Characters that stand for letters in disguised words.
@@ -185,17 +188,27 @@ class Lexicon:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents by label in which a word, or a beginning of a word, occurs; a whole word ends with a blank."""
-    count: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+    """Documents by label in which a word, or a beginning of a word, occurs (a whole word ends with a blank), and a
+    sketch of the words before it in toxic ones: a bit for each of 63 hash values."""
+    count: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
     for batch in batches:
         for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = set(TOKEN.findall((text or "").lower()))
-            seen = {w[:k] for w in words for k in range(STEM, min(len(w), LONGEST) + 1)}
-            seen.update(w + " " for w in words if len(w) >= STEM)
-            for f in seen:
-                count[f][toxic] += 1
+            words = TOKEN.findall((text or "").lower())
+            before: dict[str, int] = {}
+            for one, two in zip(["", *words], words, strict=False):
+                before[two] = before.get(two, 0) | 1 << zlib.crc32(one.encode()) % 63
+            seen: dict[str, int] = {}
+            for w, bits in before.items():
+                if len(w) >= STEM:
+                    for f in (w + " ", *(w[:k] for k in range(STEM, min(len(w), LONGEST) + 1))):
+                        seen[f] = seen.get(f, 0) | bits
+            for f, bits in seen.items():
+                own = count[f]
+                own[toxic] += 1
+                if toxic:
+                    own[2] |= bits
     keep = list(count)
-    yield pa.RecordBatch.from_arrays([pa.array(keep, pa.string()), pa.array([count[f][0] for f in keep], pa.int64()), pa.array([count[f][1] for f in keep], pa.int64())], ["f", "clean", "toxic"])
+    yield pa.RecordBatch.from_arrays([pa.array(keep, pa.string()), *[pa.array([count[f][k] for f in keep], pa.int64()) for k in range(3)]], ["f", "clean", "toxic", "around"])
 
 
 def choose(features: dict[str, tuple[int, int]]) -> tuple[list[str], list[str]]:
@@ -235,10 +248,12 @@ def sample(df: DataFrame, labels: DataFrame, doc_id: str, text: str, rows: int)
 def learn(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS) -> Lexicon:
     some = sample(df, labels, doc_id, text, rows)
     n = {r[0]: r[1] for r in some.groupBy("__tm_toxic").count().collect()}
-    least = max(3, SUPPORT * n.get(1, 0))
+    least = max(4, SUPPORT * n.get(1, 0))
     # how often a document with the feature is toxic, against how often one is
-    counts = some.mapInArrow(_features, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    pure = counts.filter((F.col("toxic") >= least) & (F.col("toxic") >= PURE * (F.col("toxic") + F.col("clean"))))
+    counts = some.mapInArrow(_features, "f string, clean long, toxic long, around long").groupBy("f")
+    counts = counts.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.bit_count(F.bit_or("around")).alias("around"))
+    varied = F.col("around") >= min(VARIED, int(least) - 1)
+    pure = counts.filter((F.col("toxic") >= least) & varied & (F.col("toxic") >= PURE * (F.col("toxic") + F.col("clean"))))
     pure = pure.orderBy(F.desc("toxic"), F.length("f"), "f").limit(MOST_ENTRIES)
     words, stems = choose({r[0]: (r[1], r[2]) for r in pure.collect()})
     return calibrate(Lexicon(words, stems), some, n)
