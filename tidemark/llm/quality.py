@@ -105,7 +105,7 @@ def expectation_maximisation(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, flo
 
     A labeller has, for either class, rates of the votes bad, none, good. It starts with any fault as a sign of a bad
     row, and bounds keep it from taking one kind of fault for the class: good rows get a fault vote at most once in a
-    hundred, bad ones at least about once in 25, and bad rows are called good at least about once in six."""
+    hundred, bad ones at least about once in 25, and good votes say little about bad rows."""
     start = np.array([[0.35, 0.5, 0.15], [0.02, 0.38, 0.6]])
     rates = np.tile(start, (v.shape[1], 1, 1))
     share, one = 0.8, np.stack([v == k for k in (-1, 0, 1)], axis=2).astype(float)
@@ -118,7 +118,7 @@ def expectation_maximisation(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, flo
         for c, weight in enumerate((1 - post, post)):
             prior = 0.002 * len(v) * start[c] + 1e-3
             rates[:, c] = (np.einsum("n,nlv->lv", weight, one) + prior) / (weight.sum() + prior.sum())
-        rates[:, 0] = np.maximum(rates[:, 0], [0.05, 0.05, 0.2])
+        rates[:, 0] = np.maximum(rates[:, 0], [0.05, 0.05, 0.5])
         rates[:, 1, 0] = np.minimum(rates[:, 1, 0], 0.01)
         rates /= rates.sum(axis=2, keepdims=True)
     return post, rates, share
