@@ -82,7 +82,7 @@ class Ppm:
             fall[seen] = start + np.arange(len(seen))
             places, base = fall, np.concatenate([base, probs], axis=1) if k else probs
         self.place = places.astype(np.int32)
-        self.bits = (-np.log2(np.concatenate(rows))).astype(np.float32).reshape(-1, len(self.langs))
+        self.bits = (-np.log2(np.concatenate(rows))).astype(np.float32).reshape(-1, len(self.langs)) if self.langs else np.zeros((0, 0), np.float32)
 
     def _by_context(self, gram: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, dict]:
         """Contexts of k bytes, how often each was seen, and their counts by next byte."""
