@@ -1,19 +1,366 @@
-"""The engine's queries by name."""
+"""The engine's queries by name, each with SQL that gives the same rows where SQL can express it."""
 
 from __future__ import annotations
 
+import gzip
+import zlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from tidemark.functions import codec, config as C
+from tidemark.functions.columns import quantize, varint_length, zigzag
+from tidemark.operators import sizes as S
+from tidemark.operators import windows as T
+from tidemark.sources.series import events
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+# Where a rounded value may end in exactly 5, both sides add 1e-7 first: engines sum in different orders.
+#: Samples in a fixed window, and in a block, of the queries over the short test signals.
+FIXED, BLOCK = 16, 1000
 
+_SERIES = "WITH s AS (SELECT user_id::VARCHAR AS series_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS idx, value FROM events WHERE value IS NOT NULL)"
+_ZZ = lambda e: f"(CASE WHEN {e} >= 0 THEN 2 * ({e}) ELSE -2 * ({e}) - 1 END)"
+_LEN = lambda z: f"greatest(1, CASE WHEN {z} = 0 THEN 1 ELSE length(ltrim(bin({z}), '0')) END)"
+_VL = lambda z: f"CAST(ceil({_LEN(z)} / 7.0) AS BIGINT)"
+_Q = _SERIES + f", q AS (SELECT series_id, idx // {FIXED} AS window_no, idx % {FIXED} AS x, value, CAST(round_even(value * 65536, 0) AS BIGINT) AS q FROM s)"
+_Z = _Q + f", d AS (SELECT *, q - coalesce(lag(q) OVER w, 0) AS d, {_ZZ('q')} AS z, coalesce(lag(q) OVER w <> q, true)::INT AS c FROM q WINDOW w AS (PARTITION BY series_id, window_no ORDER BY x))"
+_Z += f", e AS (SELECT *, CASE WHEN x < 2 THEN d ELSE d - lag(d) OVER w END AS dd, sum(c) OVER w AS run FROM d WINDOW w AS (PARTITION BY series_id, window_no ORDER BY x)), f AS (SELECT *, {_ZZ('d')} AS zd, {_ZZ('dd')} AS zdd FROM e)"
+_RUNS = f", r AS (SELECT series_id, window_no, run, min(z) AS z, count(*) AS n FROM f GROUP BY ALL), size4 AS (SELECT series_id, window_no, {_VL('max(run)::BIGINT')} + sum({_VL('z')} + {_VL('n')}) AS size_4 FROM r GROUP BY ALL)"
+_SIZES = _Z + _RUNS + f""", a AS (SELECT series_id, window_no, count(*) AS n, sum({_VL('z')})::BIGINT AS size_0, CAST(1 + ceil(count(*) * max({_LEN('z')}) / 8.0) AS BIGINT) AS size_1,
+  sum({_VL('zd')})::BIGINT AS size_2, sum({_VL('zdd')})::BIGINT AS size_5 FROM f GROUP BY ALL)"""
+_MAD = _Z + f""", m AS (SELECT *, abs(q - median(q) OVER w) AS off FROM f WINDOW w AS (PARTITION BY series_id, window_no)), m2 AS (SELECT *, median(off) OVER (PARTITION BY series_id, window_no) AS mad FROM m),
+ m3 AS (SELECT *, mad > 0 AND off > 4.5 * mad AS o FROM m2), b AS (SELECT series_id, window_no, CAST(3 + sum(CASE WHEN o THEN 4 + {_VL('z')} ELSE 0 END) + ceil(count(*) * max(CASE WHEN o THEN 1 ELSE {_LEN('z')} END) / 8.0) AS BIGINT) AS size_3 FROM m3 GROUP BY ALL)"""
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.quantized(events(spark, sf_dir), FIXED)
+
+
+def _dod(spark: SparkSession, sf_dir: str, bits: int) -> DataFrame:
+    """Second differences of each whole series: first value in 8 bytes, varints after it."""
+    w = Window.partitionBy("series_id").orderBy("idx")
+    q = events(spark, sf_dir).withColumn("q", quantize(F.col("value"), bits))
+    q = q.withColumn("d", F.col("q") - F.lag("q", 1).over(w))
+    q = q.withColumn("dd", F.col("d") - F.coalesce(F.lag("d", 1).over(w), F.lit(0)))
+    size = F.lit(8) + F.coalesce(F.sum(F.when(F.col("dd").isNotNull(), varint_length(zigzag(F.col("dd"))))), F.lit(0))
+    back = F.abs(F.col("value") - F.col("q") / F.lit(float(1 << bits)))
+    return q.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), size.alias("bytes"), F.max(back).alias("err")).select(
+        "series_id", "n", "bytes", F.round(8 * F.col("n") / F.col("bytes"), 6).alias("ratio"), F.round("err", 9).alias("max_error")
+    )
+
+
+def _dod_sql(bits: int) -> str:
+    return _SERIES + f""", q AS (SELECT *, CAST(round_even(value * {1 << bits}, 0) AS BIGINT) AS q FROM s), d AS (SELECT *, q - lag(q) OVER (PARTITION BY series_id ORDER BY idx) AS d FROM q),
+ e AS (SELECT *, d - coalesce(lag(d) OVER (PARTITION BY series_id ORDER BY idx), 0) AS dd FROM d), g AS (SELECT *, {_ZZ('dd')} AS z FROM e)
+ SELECT series_id, count(*) AS n, 8 + coalesce(sum(CASE WHEN dd IS NULL THEN NULL ELSE {_VL('z')} END), 0)::BIGINT AS bytes, round(8 * count(*) / (8 + coalesce(sum(CASE WHEN dd IS NULL THEN NULL ELSE {_VL('z')} END), 0)::BIGINT), 6) AS ratio,
+ round(max(abs(value - q / {1 << bits}.0)), 9) AS max_error FROM g GROUP BY series_id"""
+
+
+@query(_dod_sql(16))
+def dod16(spark, sf_dir):
+    return _dod(spark, sf_dir, 16)
+
+
+@query(_dod_sql(12))
+def dod12(spark, sf_dir):
+    return _dod(spark, sf_dir, 12)
+
+
+flagship = dod16
+
+
+@query(_SERIES + f" SELECT series_id, idx // {BLOCK} AS block_no, count(*) AS n FROM s GROUP BY ALL")
+def chunk_counts(spark, sf_dir):
+    return events(spark, sf_dir).groupBy("series_id", F.expr(f"idx div {BLOCK}").alias("block_no")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_Q + " SELECT series_id, window_no, count(*) AS n, round(var_pop(value) + 1e-7, 3) AS variance FROM q GROUP BY ALL")
+def fixed_windows_variance(spark, sf_dir):
+    return _fixed(spark, sf_dir).groupBy("series_id", "window_no").agg(F.count(F.lit(1)).alias("n"), F.round(F.var_pop("value") + 1e-7, 3).alias("variance"))
+
+
+@query(_SERIES + " SELECT series_id, count(*) AS n, CASE WHEN count(*) < 5000 THEN 512 WHEN count(*) < 100000 THEN 1024 ELSE 4096 END AS cap FROM s GROUP BY series_id")
+def adaptive_cap(spark, sf_dir):
+    n = F.count(F.lit(1))
+    return events(spark, sf_dir).groupBy("series_id").agg(n.alias("n"), F.when(n < 5000, 512).when(n < 100_000, 1024).otherwise(4096).alias("cap"))
+
+
+@query(_Q + " SELECT series_id, window_no, round(avg(value), 6) AS mean, round(sum(value * value) - sum(value) * avg(value), 4) AS ssr FROM q GROUP BY ALL")
+def fit_constant(spark, sf_dir):
+    v = F.col("value")
+    return _fixed(spark, sf_dir).groupBy("series_id", "window_no").agg(F.round(F.avg(v), 6).alias("mean"), F.round(F.sum(v * v) - F.sum(v) * F.avg(v), 4).alias("ssr"))
+
+
+@query(_Q + " SELECT series_id, window_no, round(coalesce(regr_slope(value, x), 0) + 1e-7, 4) AS slope, round(coalesce(regr_intercept(value, x), min(value)) + 1e-7, 4) AS intercept FROM q GROUP BY ALL")
+def fit_linear(spark, sf_dir):
+    return _fixed(spark, sf_dir).groupBy("series_id", "window_no").agg(
+        F.round(F.coalesce(F.regr_slope("value", "x"), F.lit(0.0)) + 1e-7, 4).alias("slope"), F.round(F.coalesce(F.regr_intercept("value", "x"), F.min("value")) + 1e-7, 4).alias("intercept")
+    )
+
+
+_QUAD = """ , u AS (SELECT *, x - avg(x) OVER w AS t, count(*) OVER w AS n FROM q WINDOW w AS (PARTITION BY series_id, window_no)),
+ m AS (SELECT series_id, window_no, count(*)::DOUBLE AS n, sum(t*t) AS s2, sum(t*t*t) AS s3, sum(t*t*t*t) AS s4, sum(value) AS y0, sum(t*value) AS y1, sum(t*t*value) AS y2 FROM u WHERE n >= 4 GROUP BY ALL)
+ SELECT series_id, window_no, round((y2 * n * s2 - y1 * n * s3 - y0 * s2 * s2) / (s4 * n * s2 - n * s3 * s3 - s2 * s2 * s2), 5) AS a FROM m"""
+
+
+@query(_Q + _QUAD)
+def fit_quadratic(spark, sf_dir):
+    """Leading coefficient by moments of centred x, so that the equations stay well conditioned."""
+    w = Window.partitionBy("series_id", "window_no")
+    u = _fixed(spark, sf_dir).withColumns({"t": F.col("x") - F.avg("x").over(w), "n": F.count(F.lit(1)).over(w)}).filter("n >= 4")
+    m = u.groupBy("series_id", "window_no").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), *[F.expr(f"sum({e})").alias(k) for k, e in {"s2": "t*t", "s3": "t*t*t", "s4": "t*t*t*t", "y0": "value", "y1": "t*value", "y2": "t*t*value"}.items()]
+    )
+    return m.select("series_id", "window_no", F.expr("round((y2*n*s2 - y1*n*s3 - y0*s2*s2) / (s4*n*s2 - n*s3*s3 - s2*s2*s2), 5)").alias("a"))
+
+
+def _popcount(order: int) -> Query:
+    def run(spark, sf_dir):
+        def f(y: np.ndarray) -> tuple:
+            return int(np.bitwise_count(codec.xor_words(y, order)).sum()) if len(y) > order - 1 else 0, len(y)
+
+        return T.per_series(events(spark, sf_dir), f, "bits long, n long")
+
+    run.__name__ = "xor_delta_popcount" if order == 1 else "pred_xor_popcount"
+    return run
+
+
+query(_SERIES + ", l AS (SELECT *, lag(value) OVER (PARTITION BY series_id ORDER BY idx) AS p FROM s) SELECT series_id, coalesce(sum(bit_count(xor(value::BIT, p::BIT))), 0)::BIGINT AS bits, count(*) AS n FROM l GROUP BY series_id")(_popcount(1))
+query(_SERIES + ", l AS (SELECT *, lag(value) OVER w AS p, lag(value, 2) OVER w AS pp FROM s WINDOW w AS (PARTITION BY series_id ORDER BY idx)) SELECT series_id, coalesce(sum(CASE WHEN pp IS NOT NULL THEN bit_count(xor(value::BIT, (2.0::DOUBLE * p - pp)::BIT)) END), 0)::BIGINT AS bits, count(*) AS n FROM l GROUP BY series_id")(_popcount(2))
+
+
+@query()
+def model_select(spark, sf_dir):
+    return T.per_series(events(spark, sf_dir), lambda y: codec.select(y), "model_id long, params array<double>")
+
+
+@query()
+def fit_sinusoid(spark, sf_dir):
+    return T.per_series(events(spark, sf_dir), lambda y: ([round(float(v), 6) for v in (codec.fit_sinusoid(y) if len(y) >= C.SINUSOID_WINDOW else None) if v is not None] if len(y) >= C.SINUSOID_WINDOW else [], round(codec.dominant_frequency(y), 6)), "params array<double>, frequency double")
+
+
+@query()
+def adaptive_segmentation(spark, sf_dir):
+    return T.per_series(events(spark, sf_dir), lambda y: ([n for _, n in codec.segment(y)], len(y)), "lengths array<long>, n long")
+
+
+_PREC = "CASE WHEN r < 1e-15 THEN 8 ELSE CAST(least(20, greatest({floor}, least(least(20, greatest(8, {req})), CASE WHEN r < 1 THEN greatest(8, ceil(-log2(r + 1e-30)) + 4) ELSE greatest({req}, 16) END))) AS INT) END"
+_RES = _Q + ", g AS (SELECT series_id, window_no, max(abs(value - m)) AS r, count(*) AS n FROM (SELECT *, avg(value) OVER (PARTITION BY series_id, window_no) AS m FROM q) GROUP BY ALL)"
+
+
+def _residual(spark, sf_dir):
+    w = Window.partitionBy("series_id", "window_no")
+    r = _fixed(spark, sf_dir).withColumn("r", F.abs(F.col("value") - F.avg("value").over(w)))
+    return r.groupBy("series_id", "window_no").agg(F.max("r").alias("r"), F.count(F.lit(1)).alias("n"))
+
+
+@query(_RES + f" SELECT series_id, window_no, {_PREC.format(floor=16, req=16)} AS precision_bits FROM g")
+def select_precision(spark, sf_dir):
+    return _residual(spark, sf_dir).select("series_id", "window_no", F.expr(_PREC.format(floor=16, req=16)).cast("int").alias("precision_bits"))
+
+
+@query(_RES + f" SELECT precision_bits, count(*) AS windows, sum(n)::BIGINT AS samples FROM (SELECT n, {_PREC.format(floor=8, req=12)} AS precision_bits FROM g) GROUP BY precision_bits")
+def precision_histogram(spark, sf_dir):
+    p = _residual(spark, sf_dir).select("n", F.expr(_PREC.format(floor=8, req=12)).cast("int").alias("precision_bits"))
+    return p.groupBy("precision_bits").agg(F.count(F.lit(1)).alias("windows"), F.sum("n").alias("samples"))
+
+
+@query(_SERIES + " SELECT p, count(*) AS n, round(max(abs(value - round_even(value * pow(2, p), 0) / pow(2, p))), 9) AS max_error FROM s, (SELECT unnest([8,10,12,14,16,18,20]) AS p) GROUP BY p")
+def precision_sweep(spark, sf_dir):
+    """Seven precisions against all samples: the sweep is a column of seven values, not a join."""
+    s = events(spark, sf_dir).withColumn("p", F.explode(F.array(*map(F.lit, (8, 10, 12, 14, 16, 18, 20)))))
+    return s.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.round(F.max(F.abs(F.col("value") - quantize(F.col("value"), F.col("p")) / F.pow(F.lit(2.0), "p"))), 9).alias("max_error"))
+
+
+for _k, _name in ((0, "size_zigzag_varint"), (1, "size_bitpack"), (2, "size_delta"), (4, "size_rle"), (5, "size_dod")):
+
+    def _one(spark, sf_dir, k=_k):
+        return S.sizes(_fixed(spark, sf_dir)).select("series_id", "window_no", F.col(f"size_{k}").cast("long").alias("bytes"))
+
+    _one.__name__ = _name
+    query(_SIZES + (f" SELECT series_id, window_no, size_{_k}::BIGINT AS bytes FROM {'size4' if _k == 4 else 'a'}"))(_one)
+
+
+@query(_MAD + " SELECT series_id, window_no, size_3 AS bytes FROM b")
+def size_mad_outlier(spark, sf_dir):
+    return S.outlier_sizes(_fixed(spark, sf_dir)).select("series_id", "window_no", F.col("size_3").alias("bytes"))
+
+
+_ALL = _MAD + _RUNS + _SIZES[len(_Z + _RUNS) :]
+_BEST = " SELECT series_id, window_no, n, bytes::BIGINT AS bytes, encoding_id FROM (SELECT a.series_id, a.window_no, n, unnest([size_0, size_1, size_2, CASE WHEN n >= 8 THEN size_3 END, size_4, size_5]) AS bytes, unnest([0,1,2,3,4,5]) AS encoding_id FROM a JOIN b USING (series_id, window_no) JOIN size4 USING (series_id, window_no)) QUALIFY row_number() OVER (PARTITION BY series_id, window_no ORDER BY bytes NULLS LAST, encoding_id) = 1"
+
+
+def _trial(spark, sf_dir):
+    q = _fixed(spark, sf_dir)
+    both = S.sizes(q).join(S.outlier_sizes(q), ["series_id", "window_no"])
+    options = [F.struct(F.col(f"size_{k}").cast("long").alias("bytes"), F.lit(k).alias("encoding_id")) for k in (0, 1, 2, 4, 5)]
+    three = F.when(F.col("n") >= C.MAD_LENGTH, F.struct(F.col("size_3").alias("bytes"), F.lit(3).alias("encoding_id")))
+    return both.withColumn("best", F.array_min(F.array_compact(F.array(*options, three)))).select("series_id", "window_no", "n", "best.bytes", "best.encoding_id")
+
+
+@query(_ALL + _BEST)
+def trial_encode(spark, sf_dir):
+    return _trial(spark, sf_dir)
+
+
+@query(_ALL + f", t AS ({_BEST}) SELECT encoding_id, count(*) AS windows, sum(bytes)::BIGINT AS bytes FROM t GROUP BY encoding_id")
+def encoding_histogram(spark, sf_dir):
+    return _trial(spark, sf_dir).groupBy("encoding_id").agg(F.count(F.lit(1)).alias("windows"), F.sum("bytes").alias("bytes"))
+
+
+@query(_SERIES + " SELECT series_id, idx, value FROM s")
+def full_round_trip(spark, sf_dir):
+    """Decoded samples, rounded to the four decimals that the error bound keeps apart; the source has two."""
+    return T.decompress(T.compress(events(spark, sf_dir), BLOCK)).select("series_id", "idx", F.round("value", 2).alias("value"))
+
+
+@query(_SERIES + " SELECT series_id, count(*) AS n, true AS within_bound FROM s GROUP BY series_id")
+def error_metrics(spark, sf_dir):
+    s = events(spark, sf_dir)
+    return T.errors(s, T.decompress(T.compress(s, BLOCK))).select("series_id", "n", (F.col("max_error") < C.BOUND).alias("within_bound"))
+
+
+@query()
+def model_histogram(spark, sf_dir):
+    return T.compress(events(spark, sf_dir), BLOCK).groupBy("model_id", "encoding_id").agg(F.count(F.lit(1)).alias("windows"), F.sum("n_bytes").alias("bytes"))
+
+
+@query(_SERIES + " SELECT series_id, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, min(value) AS lo, max(value) AS hi, count(*) FILTER (NOT isfinite(value)) AS odd FROM s GROUP BY series_id")
+def signal_stats(spark, sf_dir):
+    v = F.col("value")
+    odd = F.count_if(F.isnan(v) | (F.abs(v) == float("inf")))
+    return events(spark, sf_dir).groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("std"), F.min(v).alias("lo"), F.max(v).alias("hi"), odd.alias("odd"))
+
+
+@query(_SERIES + ", e AS (SELECT abs(value * 65536 - round_even(value * 65536, 0)) AS e FROM s) SELECT least(99, floor(e * 200))::INT AS bin, count(*) AS n FROM e GROUP BY ALL")
+def error_histogram(spark, sf_dir):
+    e = F.abs(F.col("value") * 65536 - F.rint(F.col("value") * 65536))
+    return events(spark, sf_dir).groupBy(F.least(F.lit(99), F.floor(e * 200)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_SERIES + ", r AS (SELECT series_id, value - avg(value) OVER (PARTITION BY series_id) AS r FROM s) SELECT series_id, round(median(r), 4) AS middle, round(quantile_cont(r, 0.99), 4) AS p99 FROM r GROUP BY series_id")
+def residual_percentiles(spark, sf_dir):
+    r = events(spark, sf_dir).withColumn("r", F.col("value") - F.avg("value").over(Window.partitionBy("series_id")))
+    return r.groupBy("series_id").agg(F.round(F.median("r"), 4).alias("middle"), F.round(F.percentile("r", 0.99), 4).alias("p99"))
+
+
+_RLE = _SERIES + ", c AS (SELECT series_id, CASE WHEN lag(value) OVER (PARTITION BY series_id ORDER BY idx) = value AND NOT isnan(value) THEN 0 ELSE 1 END AS c FROM s) SELECT series_id, sum(c)::BIGINT AS runs, 12 * sum(c)::BIGINT AS bytes FROM c GROUP BY series_id"
+
+
+@query(_RLE)
+def float_rle(spark, sf_dir):
+    """Runs of equal values, 12 bytes each; a NaN never continues a run."""
+    w = Window.partitionBy("series_id").orderBy("idx")
+    same = F.coalesce(F.lag("value", 1).over(w) == F.col("value"), F.lit(False)) & ~F.isnan("value")
+    c = events(spark, sf_dir).withColumn("c", F.when(same, 0).otherwise(1))
+    return c.groupBy("series_id").agg(F.sum("c").alias("runs"), (12 * F.sum("c")).alias("bytes"))
+
+
+def _zfp(spark, sf_dir):
+    w = Window.partitionBy("series_id", "block")
+    b = events(spark, sf_dir).withColumn("block", F.expr("idx div 64"))
+    b = b.withColumn("q", F.rint((F.col("value") - F.avg("value").over(w)) / C.BOUND).cast("long"))
+    return b.groupBy("series_id").agg((8 * F.countDistinct("block") + F.sum(varint_length(zigzag(F.col("q"))))).alias("bytes"))
+
+
+@query(_SERIES + f", b AS (SELECT series_id, idx // 64 AS block, CAST(round_even((value - avg(value) OVER (PARTITION BY series_id, idx // 64)) / 8e-6, 0) AS BIGINT) AS q FROM s), z AS (SELECT *, {_ZZ('q')} AS z FROM b) SELECT series_id, 8 * count(DISTINCT block) + sum({_VL('z')})::BIGINT AS bytes FROM z GROUP BY series_id")
+def zfp_style(spark, sf_dir):
+    return _zfp(spark, sf_dir)
+
+
+@query()
+def gorilla(spark, sf_dir):
+    return T.per_series(events(spark, sf_dir), lambda y: ((codec.gorilla_bits(y) + 7) // 8, len(y)), "bytes long, n long")
+
+
+@query()
+def sz3_style(spark, sf_dir):
+    def f(y):
+        data, back = codec.sz3_style(y)
+        return len(data), bool(np.abs(back - y).max() <= C.BOUND / 2 + 1e-12)
+
+    return T.per_series(events(spark, sf_dir), f, "bytes long, within boolean")
+
+
+@query()
+def gzip_zlib(spark, sf_dir):
+    return T.per_series(events(spark, sf_dir), lambda y: (len(gzip.compress(y.astype("<f8").tobytes(), 6, mtime=0)), len(zlib.compress(y.astype("<f8").tobytes(), 9))), "gzip_bytes long, zlib_bytes long")
+
+
+@query(_SERIES + " SELECT series_id, true AS intact, true AS damage_found FROM s GROUP BY series_id")
+def container_round_trip(spark, sf_dir):
+    """Written and read again, and with a byte changed."""
+
+    def f(y):
+        data = codec.pack_container(codec.encode_block(y), C.PRECISION, BLOCK)
+        back = np.concatenate([codec.decode_window(w) for w in codec.unpack_container(data)])
+        bad = bytearray(data)
+        bad[len(bad) // 2] ^= 255
+        try:
+            codec.unpack_container(bytes(bad))
+            found = False
+        except ValueError:
+            found = True
+        return bool(np.abs(back - y).max() < C.BOUND), found
+
+    return T.per_series(events(spark, sf_dir), f, "intact boolean, damage_found boolean")
+
+
+def _technique(spark, sf_dir):
+    parts = {"dod16": dod16(spark, sf_dir), "dod12": dod12(spark, sf_dir), "rle": float_rle(spark, sf_dir), "zfp": _zfp(spark, sf_dir)}
+    out = None
+    for name, df in parts.items():
+        own = df.select("series_id", F.lit(name).alias("codec"), F.col("bytes").cast("long").alias("bytes"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def _technique_sql() -> str:
+    return "WITH t AS (" + " UNION ALL ".join(f"SELECT series_id, '{n}' AS codec, bytes::BIGINT AS bytes FROM ({SQL[q]})" for n, q in (("dod16", "dod16"), ("dod12", "dod12"), ("rle", "float_rle"), ("zfp", "zfp_style"))) + ")"
+
+
+@query(_technique_sql() + " SELECT series_id, arg_min(codec, (bytes, codec)) AS winner, min(bytes) AS bytes FROM t GROUP BY series_id")
+def scoreboard(spark, sf_dir):
+    return _technique(spark, sf_dir).groupBy("series_id").agg(F.min_by("codec", F.struct("bytes", "codec")).alias("winner"), F.min("bytes").alias("bytes"))
+
+
+@query(_technique_sql() + ", w AS (SELECT series_id, arg_min(codec, (bytes, codec)) AS winner FROM t GROUP BY series_id) SELECT winner, count(*) AS wins, round(count(*) / sum(count(*)) OVER (), 6) AS rate FROM w GROUP BY winner")
+def win_rate(spark, sf_dir):
+    won = scoreboard(spark, sf_dir).groupBy("winner").agg(F.count(F.lit(1)).alias("wins"))
+    return won.withColumn("rate", F.round(F.col("wins") / F.sum("wins").over(Window.partitionBy()), 6))
+
+
+@query(_technique_sql() + " SELECT codec, sum(bytes)::BIGINT AS bytes, round(8 * (SELECT count(*) FROM events WHERE value IS NOT NULL) / sum(bytes)::BIGINT, 6) AS ratio FROM t GROUP BY codec")
+def overall_ratio(spark, sf_dir):
+    n = events(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
+    total = _technique(spark, sf_dir).groupBy("codec").agg(F.sum("bytes").alias("bytes"))
+    return total.crossJoin(F.broadcast(n)).select("codec", "bytes", F.round(8 * F.col("n") / F.col("bytes"), 6).alias("ratio"))  # one row
+
+
+@query(_technique_sql() + " SELECT series_id, max(bytes) FILTER (codec = 'dod12') AS dod12, max(bytes) FILTER (codec = 'dod16') AS dod16, max(bytes) FILTER (codec = 'rle') AS rle, max(bytes) FILTER (codec = 'zfp') AS zfp FROM t GROUP BY series_id")
+def technique_pivot(spark, sf_dir):
+    return _technique(spark, sf_dir).groupBy("series_id").pivot("codec", ["dod12", "dod16", "rle", "zfp"]).agg(F.first("bytes"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
