@@ -107,7 +107,7 @@ def fit_constant(spark, sf_dir):
     return _fixed(spark, sf_dir).groupBy("series_id", "window_no").agg(F.round(F.avg(v), 6).alias("mean"), F.round(F.sum(v * v) - F.sum(v) * F.avg(v), 4).alias("ssr"))
 
 
-@query(_Q + " SELECT series_id, window_no, round(coalesce(regr_slope(value, x), 0) + 1e-7, 4) AS slope, round(coalesce(regr_intercept(value, x), min(value)) + 1e-7, 4) AS intercept FROM q GROUP BY ALL")
+@query(_Q + " SELECT series_id, window_no, round(CASE WHEN count(*) < 2 THEN 0 ELSE regr_slope(value, x) END + 1e-7, 4) AS slope, round(coalesce(regr_intercept(value, x), min(value)) + 1e-7, 4) AS intercept FROM q GROUP BY ALL")
 def fit_linear(spark, sf_dir):
     return _fixed(spark, sf_dir).groupBy("series_id", "window_no").agg(
         F.round(F.coalesce(F.regr_slope("value", "x"), F.lit(0.0)) + 1e-7, 4).alias("slope"), F.round(F.coalesce(F.regr_intercept("value", "x"), F.min("value")) + 1e-7, 4).alias("intercept")
