@@ -15,7 +15,6 @@ length are encoded whole; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 import re
@@ -29,13 +28,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import prepare
+from tidemark.llm.common import prepare, worker_memory
 
 NEVER = 1 << 60
 #: Texts within these characters need no look at the table of unassigned ones.
 COMMON = re.compile("[^\x00-\u0377]")
 #: Words that a worker remembers between batches; beyond that it starts anew.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 250_000
 
 
 def default_vocabulary() -> str:
@@ -269,13 +268,13 @@ def load(path: str) -> WordBpe:
 
 def _over(path: str, fill: Callable[[bytes, str], tuple], names: list[str], types: list[pa.DataType]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
-        gc.disable()  # millions of small objects, none of them in cycles
-        for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            rows = [fill(*x) for x in bpe.encode_batch(texts)]
-            new = [pa.array([r[n] for r in rows], t) for n, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*batch.schema.names[:-1], *names])
+        with worker_memory("bpe", load.cache_clear):  # millions of small objects, none of them in cycles
+            bpe = load(path)
+            for batch in batches:
+                texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+                rows = [fill(*x) for x in bpe.encode_batch(texts)]
+                new = [pa.array([r[n] for r in rows], t) for n, t in enumerate(types)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*batch.schema.names[:-1], *names])
 
     return run
 

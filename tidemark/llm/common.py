@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +62,23 @@ def sample_by_hash(df: DataFrame, key: Column, rows: int, count: int) -> DataFra
     if count <= rows:
         return df
     return df.filter(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * rows / count))
+
+
+_owner: list[tuple[str, Callable[[], None]]] = []
+
+
+@contextmanager
+def worker_memory(name: str, clear: Callable[[], None], collect: bool = False) -> Iterator[None]:
+    """In a Python worker, which outlives its tasks: what another operator remembers there is dropped first, so a
+    worker holds one operator's memory at a time. Without ``collect`` the cycle collector rests meanwhile."""
+    if _owner and _owner[0][0] != name:
+        _owner.pop()[1]()
+        gc.collect()
+    if not _owner:
+        _owner.append((name, clear))
+    if not collect:
+        gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()

@@ -12,7 +12,6 @@ tokens; texts of any length are counted whole; repeated rows each get their row.
 
 from __future__ import annotations
 
-import gc
 import math
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -20,10 +19,10 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import WORD, prepare
+from tidemark.llm.common import WORD, prepare, worker_memory
 
 MARK = "▁"
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 250_000
 
 
 def default_vocabulary() -> str:
@@ -102,11 +101,11 @@ def count_tokens(df: DataFrame, doc_id: str = "doc_id", text: str = "text", voca
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(path)
-        gc.disable()
-        for batch in batches:
-            rows = model.count_batch([t or "" for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], [doc_id, "n_tokens", "n_pretokens"])
+        with worker_memory("token counts", load.cache_clear):
+            model = load(path)
+            for batch in batches:
+                rows = model.count_batch([t or "" for t in batch.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], [doc_id, "n_tokens", "n_pretokens"])
 
     kind = df.schema[doc_id].dataType.simpleString()
     return df.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {kind}, n_tokens long, n_pretokens long")

@@ -20,7 +20,6 @@ rows each get their row; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import gc
 import math
 import re
 import zlib
@@ -31,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, fold, held_out, prepare, sample_by_hash
+from tidemark.llm.common import cut, fold, held_out, prepare, sample_by_hash, worker_memory
 
 SAMPLE_ROWS = 8000
 THRESHOLD = 0.7
@@ -40,7 +39,7 @@ STEM, LONGEST, MOST_ENTRIES = 4, 16, 2000
 #: Least share of toxic documents of those with an entry, least share of toxic documents that have it, and in how many
 #: surroundings it must occur: copies of one document are no evidence that its words are toxic.
 PURE, SUPPORT, VARIED = 0.9, 0.02, 8
-MEMORY_WORDS = 300_000
+MEMORY_WORDS = 250_000
 TOKEN = re.compile(r"[\w@$]+")
 #: Characters that stand for letters in disguised words.
 DISGUISE = str.maketrans("0134578@$", "oieastbas")
@@ -301,25 +300,30 @@ def _held(shared) -> Lexicon:
     return _here[key]
 
 
+def forget() -> None:
+    """Drop the worker's copy; a named function, so that workers act on their own module and not on a copy of it."""
+    _here.clear()
+
+
 def score(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """Per row: id, held_out, score, predicted, hits (start, end, kind, form)."""
     spark = prepare(df)
     shared = spark.sparkContext.broadcast(learn(df, labels, doc_id, text, rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = _held(shared)
-        gc.disable()
-        for batch in batches:
-            scores, hits = [], []
-            for t in batch.column(2).to_pylist():
-                own = lexicon.hits(t or "")
-                scores.append(lexicon.score_of(own))
-                hits.append([{"start": a, "end": b, "kind": KINDS[k], "form": f} for a, b, k, f in own])
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("form", pa.string())]))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(hits, kind)],
-                [doc_id, "held_out", "score", "predicted", "hits"],
-            )
+        with worker_memory("toxicity", forget):
+            lexicon = _held(shared)
+            for batch in batches:
+                scores, hits = [], []
+                for t in batch.column(2).to_pylist():
+                    own = lexicon.hits(t or "")
+                    scores.append(lexicon.score_of(own))
+                    hits.append([{"start": a, "end": b, "kind": KINDS[k], "form": f} for a, b, k, f in own])
+                kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("form", pa.string())]))
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:2], pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(hits, kind)],
+                    [doc_id, "held_out", "score", "predicted", "hits"],
+                )
 
     kind = df.schema[doc_id].dataType.simpleString()
     return df.select(F.col(doc_id), held_out(doc_id).alias("held_out"), F.col(text).cast("string")).mapInArrow(
@@ -334,9 +338,9 @@ def keep_clean(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = _held(shared)
-        gc.disable()
-        for batch in batches:
-            yield batch.filter(pa.array([lexicon.score(t or "") < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+        with worker_memory("toxicity", forget):
+            lexicon = _held(shared)
+            for batch in batches:
+                yield batch.filter(pa.array([lexicon.score(t or "") < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
