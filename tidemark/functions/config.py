@@ -11,3 +11,5 @@ MAD_FACTOR, MAD_LENGTH, BLOCK_DOD_LENGTH, CHUNK = 4.5, 8, 64, 100_000
 LINEAR, QUADRATIC, XOR, CONSTANT, SINUSOID, PRED_XOR = range(6)
 PARAMS = {LINEAR: 2, QUADRATIC: 3, XOR: 1, CONSTANT: 1, SINUSOID: 4, PRED_XOR: 2}
 MAGIC, FOOTER_MAGIC, VERSION = b"DLC\x02", b"\xed\xdc\xba\x01", (0, 1)
+#: Decimal exponents and divisors of the decimal codec, values in one of its chunks, and where its integers end.
+ALP_EXPONENTS, ALP_FACTORS, ALP_CHUNK, ALP_LIMIT = range(12), (1, 2, 4, 5, 8, 10, 16, 20, 25, 50, 100), 1024, 2.0**62

@@ -48,3 +48,29 @@ def outlier_sizes(q: DataFrame, keys: list[str] | None = None) -> DataFrame:
     out = (F.col("mad") > 0) & (F.col("off") > C.MAD_FACTOR * F.col("mad"))
     inner = F.max(F.when(out, 1).otherwise(bit_length(F.col("z"))))
     return rows.groupBy(*keys).agg((3 + F.sum(F.when(out, 4 + varint_length(F.col("z"))).otherwise(0)) + F.ceil(F.count(F.lit(1)) * inner / 8)).cast("long").alias("size_3"))
+
+
+def alp_grid() -> list[tuple[int, int, int, float]]:
+    """(place, exponent, divisor, scale) of the decimal codec; of equal costs the first place wins."""
+    pairs = [(e, f) for e in C.ALP_EXPONENTS for f in C.ALP_FACTORS]
+    return [(k, e, f, 10.0**e / f) for k, (e, f) in enumerate(pairs)]
+
+
+def alp_sizes(series: DataFrame) -> DataFrame:
+    """series_id, n, raw_chunks, bytes of the decimal codec. The grid is a column of fixed length, not a join, and what is
+    shuffled is one row per chunk and grid place."""
+    grid = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(s).alias("scale")) for k, _, _, s in alp_grid()])
+    rows = series.select("series_id", F.expr(f"idx div {C.ALP_CHUNK}").alias("chunk"), "value", F.explode(grid).alias("g"))
+    q = F.rint(F.col("value") * F.col("g.scale"))
+    fits = (F.abs(q) < C.ALP_LIMIT) & (q / F.col("g.scale") == F.col("value"))
+    rows = rows.select("series_id", "chunk", F.col("g.k").alias("k"), fits.alias("fits"), F.when(fits, zigzag(q.cast("long"))).alias("z"))
+    each = rows.groupBy("series_id", "chunk", "k").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and("fits").alias("fits"), F.max(bit_length(F.col("z"))).alias("width"), F.sum(varint_length(F.col("z"))).alias("body")
+    )
+    cost = F.struct(F.ceil(F.col("width") * F.col("n") / 8).alias("cost"), "k", "body")
+    chunks = each.groupBy("series_id", "chunk").agg(F.first("n").alias("n"), F.min(F.when(F.col("fits"), cost)).alias("best"))
+    raw = 5 + 8 * F.col("n")
+    packed = F.coalesce(8 + F.col("best.body"), raw)
+    return chunks.groupBy("series_id").agg(
+        F.sum("n").alias("n"), F.count_if(packed >= raw).alias("raw_chunks"), (4 + F.sum(F.least(packed, raw))).cast("long").alias("bytes")
+    )

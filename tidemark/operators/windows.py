@@ -15,20 +15,24 @@ WINDOWS = (
 )
 
 
+def window_rows(series_id: str, first: int, y: np.ndarray, chunk: int, precision: int, enforce: bool, bound: float) -> pa.Table:
+    """Rows of ``WINDOWS`` of one block that begins at place ``first``."""
+    rows, at = [], 0
+    for n, w in enumerate(codec.encode_block(y, precision, enforce, bound)):
+        part = y[at : at + w["length"]]
+        rows.append((series_id, first // chunk, n, first + at, w["length"], w["model"], w["encoding"], w["precision"], w["params"], w["body"], codec.record_size(w), float(part.min()), float(part.max())))
+        at += w["length"]
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), *[pa.int32()] * 4, pa.list_(pa.float64()), pa.binary(), pa.int32(), pa.float64(), pa.float64()]
+    names = [x.split()[0] for x in WINDOWS.split(", ")]
+    return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+
+
 def compress(series: DataFrame, chunk: int = C.CHUNK, precision: int = C.PRECISION, enforce: bool = True, bound: float = C.BOUND) -> DataFrame:
     """A row per window. A task holds one block (``chunk`` samples) of one series, never a whole series."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("idx")
-        y, first = table.column("value").to_numpy(), table.column("idx")[0].as_py()
-        rows, at = [], 0
-        for n, w in enumerate(codec.encode_block(y, precision, enforce, bound)):
-            part = y[at : at + w["length"]]
-            rows.append((table.column("series_id")[0].as_py(), first // chunk, n, first + at, w["length"], w["model"], w["encoding"], w["precision"], w["params"], w["body"], codec.record_size(w), float(part.min()), float(part.max())))
-            at += w["length"]
-        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), *[pa.int32()] * 4, pa.list_(pa.float64()), pa.binary(), pa.int32(), pa.float64(), pa.float64()]
-        names = [x.split()[0] for x in WINDOWS.split(", ")]
-        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+        return window_rows(table.column("series_id")[0].as_py(), table.column("idx")[0].as_py(), table.column("value").to_numpy(), chunk, precision, enforce, bound)
 
     blocks = series.withColumn("block_no", F.expr(f"idx div {chunk}"))
     return blocks.groupBy("series_id", "block_no").applyInArrow(run, WINDOWS)
@@ -46,6 +50,21 @@ def decompress(windows: DataFrame) -> DataFrame:
     return windows.mapInArrow(run, "series_id string, idx long, value double")
 
 
+def scan(windows: DataFrame, start: int, stop: int, lowest: float | None = None, highest: float | None = None) -> DataFrame:
+    """Samples of places start to stop (exclusive), of values lowest to highest. Only windows that can hold some are
+    decoded; the conditions on start_idx, vmin and vmax reach the Parquet statistics. Windows hold values before coding,
+    so value limits are widened by the error bound."""
+    kept = windows.filter((F.col("start_idx") < stop) & (F.col("start_idx") + F.col("window_length") > start))
+    if lowest is not None:
+        kept = kept.filter(F.col("vmax") >= lowest - C.BOUND)
+    if highest is not None:
+        kept = kept.filter(F.col("vmin") <= highest + C.BOUND)
+    found = decompress(kept).filter((F.col("idx") >= start) & (F.col("idx") < stop))
+    if lowest is not None:
+        found = found.filter(F.col("value") >= lowest)
+    return found if highest is None else found.filter(F.col("value") <= highest)
+
+
 def errors(original: DataFrame, recovered: DataFrame) -> DataFrame:
     """Per series: samples compared, largest and mean absolute error, root mean square error, over finite pairs."""
     both = original.join(recovered.withColumnRenamed("value", "back"), ["series_id", "idx"])

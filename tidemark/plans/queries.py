@@ -14,6 +14,7 @@ from tidemark.functions import codec, config as C
 from tidemark.functions.columns import quantize, varint_length, zigzag
 from tidemark.operators import sizes as S
 from tidemark.operators import windows as T
+from tidemark.sources.files import pack_containers, unpack_containers
 from tidemark.sources.series import events
 
 # Where a rounded value may end in exactly 5, both sides add 1e-7 first: engines sum in different orders.
@@ -322,6 +323,45 @@ def container_round_trip(spark, sf_dir):
     return T.per_series(events(spark, sf_dir), f, "intact boolean, damage_found boolean")
 
 
+@query()
+def elf_style(spark, sf_dir):
+    """The same bit stream written and read again."""
+
+    def f(y):
+        data = codec.xor_pack(y)
+        return len(data), len(y), bool(np.array_equal(codec.bits(codec.xor_unpack(data, len(y))), codec.bits(y)))
+
+    return T.per_series(events(spark, sf_dir), f, "bytes long, n long, intact boolean")
+
+
+def _alp_sql() -> str:
+    grid = ", ".join(f"({k}, '{s!r}'::DOUBLE)" for k, _, _, s in S.alp_grid())
+    return _SERIES + f""", g(k, scale) AS (VALUES {grid}), x AS (SELECT series_id, idx // {C.ALP_CHUNK} AS chunk, k, value, scale, round_even(value * scale, 0) AS r FROM s CROSS JOIN g),
+ y AS (SELECT series_id, chunk, k, abs(r) < pow(2, 62) AND r / scale = value AS fits, CASE WHEN abs(r) < pow(2, 62) THEN CAST(r AS BIGINT) END AS q FROM x),
+ z AS (SELECT *, CASE WHEN fits THEN {_ZZ('q')} END AS z FROM y), e AS (SELECT series_id, chunk, k, count(*) AS n, bool_and(fits) AS fits, ceil(count(*) * max({_LEN('z')}) / 8.0) AS cost, sum({_VL('z')}) AS body FROM z GROUP BY ALL),
+ c AS (SELECT series_id, chunk, any_value(n) AS n, 5 + 8 * any_value(n) AS raw, 8 + arg_min(body, (cost, k)) FILTER (fits) AS packed FROM e GROUP BY ALL)
+ SELECT series_id, sum(n)::BIGINT AS n, count(*) FILTER (coalesce(packed, raw) >= raw) AS raw_chunks, (4 + sum(least(coalesce(packed, raw), raw)))::BIGINT AS bytes FROM c GROUP BY series_id"""
+
+
+@query(_alp_sql())
+def alp_style(spark, sf_dir):
+    return S.alp_sizes(events(spark, sf_dir))
+
+
+@query(_SERIES + " SELECT series_id, idx, value FROM s WHERE idx >= 5 AND idx < 40 AND value >= 100")
+def range_scan(spark, sf_dir):
+    """Samples of a range of places and values, from the windows that can hold them."""
+    found = T.scan(T.compress(events(spark, sf_dir), BLOCK), 5, 40, lowest=100 - C.BOUND)
+    return found.withColumn("value", F.round("value", 2)).filter("value >= 100")
+
+
+@query(_SERIES + " SELECT series_id, idx, value FROM s")
+def container_files(spark, sf_dir):
+    """Signals packed into containers, a row each, and unpacked."""
+    packed = pack_containers(T.compress(events(spark, sf_dir), BLOCK), BLOCK)
+    return unpack_containers(packed).withColumn("value", F.round("value", 2))
+
+
 def _technique(spark, sf_dir):
     parts = {"dod16": dod16(spark, sf_dir), "dod12": dod12(spark, sf_dir), "rle": float_rle(spark, sf_dir), "zfp": _zfp(spark, sf_dir)}
     out = None
