@@ -38,7 +38,7 @@ WINDOW = 24
 STEM, LONGEST, MOST_ENTRIES = 4, 16, 2000
 #: Least share of toxic documents of those with an entry, least share of toxic documents that have it, and in how many
 #: surroundings it must occur: copies of one document are no evidence that its words are toxic.
-PURE, SUPPORT, VARIED = 0.9, 0.02, 8
+PURE, SUPPORT, VARIED, EVIDENCE = 0.9, 0.02, 8, 16
 MEMORY_WORDS = 250_000
 TOKEN = re.compile(r"[\w@$]+")
 #: Characters that stand for letters in disguised words.
@@ -188,19 +188,21 @@ class Lexicon:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents by label in which a word, or a beginning of a word, occurs (a whole word ends with a blank), and a
-    sketch of the words before it in toxic ones: a bit for each of 63 hash values."""
+    sketch of the words before it in toxic ones: a bit for each of 63 hash values. A document adds the surroundings of
+    its first occurrence alone, so that copies of a document that repeats a word do not look varied."""
     count: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
     for batch in batches:
         for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             words = TOKEN.findall((text or "").lower())
             before: dict[str, int] = {}
             for one, two in zip(["", *words], words, strict=False):
-                before[two] = before.get(two, 0) | 1 << zlib.crc32(one.encode()) % 63
+                if two not in before:
+                    before[two] = 1 << zlib.crc32(one.encode()) % 63
             seen: dict[str, int] = {}
             for w, bits in before.items():
                 if len(w) >= STEM:
                     for f in (w + " ", *(w[:k] for k in range(STEM, min(len(w), LONGEST) + 1))):
-                        seen[f] = seen.get(f, 0) | bits
+                        seen.setdefault(f, bits)
             for f, bits in seen.items():
                 own = count[f]
                 own[toxic] += 1
@@ -247,7 +249,8 @@ def sample(df: DataFrame, labels: DataFrame, doc_id: str, text: str, rows: int)
 def learn(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS) -> Lexicon:
     some = sample(df, labels, doc_id, text, rows)
     n = {r[0]: r[1] for r in some.groupBy("__tm_toxic").count().collect()}
-    least = max(4, SUPPORT * n.get(1, 0))
+    # a small sample asks for as many documents as a large one, as far as it has them: chance and copies make a few
+    least = max(4, SUPPORT * n.get(1, 0), min(EVIDENCE, n.get(1, 0) / 8))
     # how often a document with the feature is toxic, against how often one is
     counts = some.mapInArrow(_features, "f string, clean long, toxic long, around long").groupBy("f")
     counts = counts.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.bit_count(F.bit_or("around")).alias("around"))
