@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +75,7 @@ def worker_memory(name: str, clear: Callable[[], None], collect: bool = False) -
     if _owner and _owner[0][0] != name:
         _owner.pop()[1]()
         gc.collect()
+        pa.default_memory_pool().release_unused()
     if not _owner:
         _owner.append((name, clear))
     if not collect:

@@ -40,6 +40,8 @@ STEM, LONGEST, MOST_ENTRIES = 4, 16, 2000
 #: surroundings it must occur: copies of one document are no evidence that its words are toxic.
 PURE, SUPPORT, VARIED, EVIDENCE = 0.9, 0.02, 8, 16
 MEMORY_WORDS = 250_000
+#: Features that a task counts before it hands its counts on; the sums are made by the aggregation that follows.
+MEMORY_FEATURES = 100_000
 TOKEN = re.compile(r"[\w@$]+")
 #: Characters that stand for letters in disguised words.
 DISGUISE = str.maketrans("0134578@$", "oieastbas")
@@ -191,25 +193,33 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sketch of the words before it in toxic ones: a bit for each of 63 hash values. A document adds the surroundings of
     its first occurrence alone, so that copies of a document that repeats a word do not look varied."""
     count: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
-    for batch in batches:
-        for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = TOKEN.findall((text or "").lower())
-            before: dict[str, int] = {}
-            for one, two in zip(["", *words], words, strict=False):
-                if two not in before:
-                    before[two] = 1 << zlib.crc32(one.encode()) % 63
-            seen: dict[str, int] = {}
-            for w, bits in before.items():
-                if len(w) >= STEM:
-                    for f in (w + " ", *(w[:k] for k in range(STEM, min(len(w), LONGEST) + 1))):
-                        seen.setdefault(f, bits)
-            for f, bits in seen.items():
-                own = count[f]
-                own[toxic] += 1
-                if toxic:
-                    own[2] |= bits
-    keep = list(count)
-    yield pa.RecordBatch.from_arrays([pa.array(keep, pa.string()), *[pa.array([count[f][k] for f in keep], pa.int64()) for k in range(3)]], ["f", "clean", "toxic", "around"])
+
+    def counted() -> pa.RecordBatch:
+        rows = pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), *[pa.array([own[k] for own in count.values()], pa.int64()) for k in range(3)]], ["f", "clean", "toxic", "around"])
+        count.clear()
+        return rows
+
+    with worker_memory("toxicity", forget):
+        for batch in batches:
+            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = TOKEN.findall((text or "").lower())
+                before: dict[str, int] = {}
+                for one, two in zip(["", *words], words, strict=False):
+                    if two not in before:
+                        before[two] = 1 << zlib.crc32(one.encode()) % 63
+                seen: dict[str, int] = {}
+                for w, bits in before.items():
+                    if len(w) >= STEM:
+                        for f in (w + " ", *(w[:k] for k in range(STEM, min(len(w), LONGEST) + 1))):
+                            seen.setdefault(f, bits)
+                for f, bits in seen.items():
+                    own = count[f]
+                    own[toxic] += 1
+                    if toxic:
+                        own[2] |= bits
+                if len(count) > MEMORY_FEATURES:
+                    yield counted()
+        yield counted()
 
 
 def choose(features: dict[str, tuple[int, int]]) -> tuple[list[str], list[str]]:
@@ -266,12 +276,13 @@ def calibrate(lexicon: Lexicon, some: DataFrame, n: dict[int, int]) -> Lexicon:
 
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: Counter = Counter()
-        for batch in batches:
-            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hits = lexicon.hits(text or "")
-                rows.update({("f", form, toxic) for _, _, kind, form in hits if kind % 2})
-                plain = {kind for _, _, kind, _ in hits if kind % 2 == 0}
-                rows[("k", str(min(plain) if plain else -1 if not hits else 9), toxic)] += 1
+        with worker_memory("toxicity", forget):
+            for batch in batches:
+                for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    hits = lexicon.hits(text or "")
+                    rows.update({("f", form, toxic) for _, _, kind, form in hits if kind % 2})
+                    plain = {kind for _, _, kind, _ in hits if kind % 2 == 0}
+                    rows[("k", str(min(plain) if plain else -1 if not hits else 9), toxic)] += 1
         keys = list(rows)
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int32()), pa.array([rows[k] for k in keys], pa.int64())],
