@@ -9,6 +9,7 @@ import re
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -76,6 +77,21 @@ def test_bpe_rows(spark, odd, empty):
     assert bpe.encode(empty).count() == 0
 
 
+def test_bpe_slices_and_generations(library, docs, monkeypatch):
+    """Rows keep their order and ids however few words a worker remembers and characters it takes at once."""
+    monkeypatch.setattr(bpe, "MEMORY_WORDS", 40)
+    monkeypatch.setattr(bpe, "MEMORY_NODES", 60)
+    monkeypatch.setattr(bpe, "SLICE", 300)
+    texts = [*(r[0] for r in docs.orderBy("doc_id").select("text").limit(60).collect()), None, "", "x" * 900, "a b"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["doc_id", "text"])
+    run = bpe._over(bpe.default_vocabulary(), lambda rows: [bpe._ids_column(rows), pa.array([shown for _, shown in rows])], ["ids", "shown"])
+    got = pa.Table.from_batches(run(iter([batch, batch.slice(0, 0), batch])))
+    want = [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)] * 2
+    assert got["doc_id"].to_pylist() == [*range(len(texts))] * 2
+    assert got["ids"].to_pylist() == want
+    assert got["shown"].to_pylist() == [library.decode(ids, skip_special_tokens=False) for ids in want]
+
+
 # --- exact dedup ---
 
 

@@ -24,6 +24,7 @@ from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -33,8 +34,11 @@ from tidemark.llm.common import prepare, worker_memory
 NEVER = 1 << 60
 #: Texts within these characters need no look at the table of unassigned ones.
 COMMON = re.compile("[^\x00-\u0377]")
-#: Words that a worker remembers between batches; beyond that it starts anew.
-MEMORY_WORDS = 250_000
+#: Words that a worker remembers in each of two generations, and nodes of their trie; beyond that the older
+#: generation goes, or the trie starts anew.
+MEMORY_WORDS, MEMORY_NODES = 60_000, 100_000
+#: Characters of texts that are encoded at once; a text is never cut.
+SLICE = 500_000
 
 
 def default_vocabulary() -> str:
@@ -93,6 +97,8 @@ class WordBpe:
         self._library = path
         self.ids: dict[str, bytes] = {}
         self.shown: dict[str, str] = {}
+        #: The same of the generation before: words that are met again move on.
+        self.before: tuple[dict[str, bytes], dict[str, str]] = ({}, {})
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Plain BPE of a few symbols: the pair of lowest rank first, from the left."""
@@ -163,9 +169,9 @@ class WordBpe:
         A node is (children, last token, runs): a run is a start and the place in the vocabulary's own trie that
         the text from there has reached. The longest token that may follow what stands before it is the last one.
         """
-        if self.nodes > MEMORY_WORDS:
+        if self.nodes > MEMORY_NODES:
             self.trie, self.nodes = ({}, -1, ()), 0
-        if len(self.firm) > 4 * MEMORY_WORDS:
+        if len(self.firm) > 2 * MEMORY_NODES:
             self.firm.clear()
         firm, root, ids, shown, names = self.firm, self.entries, self.ids, self.shown, self.names
         for word in sorted(words):
@@ -240,9 +246,12 @@ class WordBpe:
                 parts.append(self.cut(text))
         plain = [p if not p or isinstance(p[0], str) else [w for w, special in p if not special] for p in parts]
         if len(self.ids) > MEMORY_WORDS:
-            self.ids.clear()
-            self.shown.clear()
-        self.learn({w for p in plain for w in p}.difference(self.ids))
+            self.before, self.ids, self.shown = (self.ids, self.shown), {}, {}
+        unknown = {w for p in plain for w in p}.difference(self.ids)
+        old_ids, old_shown = self.before
+        for w in unknown.intersection(old_ids):
+            self.ids[w], self.shown[w] = old_ids[w], old_shown[w]
+        self.learn(unknown.difference(self.ids))
         out = []
         for p in parts:
             if not p or isinstance(p[0], str):
@@ -266,28 +275,47 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def _over(path: str, fill: Callable[[bytes, str], tuple], names: list[str], types: list[pa.DataType]):
+def _slices(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in order, about ``SLICE`` characters at once."""
+    lo = held = 0
+    for n, text in enumerate(texts):
+        held += len(text)
+        if held >= SLICE:
+            yield texts[lo : n + 1]
+            lo, held = n + 1, 0
+    if lo < len(texts):
+        yield texts[lo:]
+
+
+def _over(path: str, fill: Callable[[list[tuple[bytes, str]]], list[pa.Array]], names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with worker_memory("bpe", load.cache_clear):  # millions of small objects, none of them in cycles
             bpe = load(path)
             for batch in batches:
-                texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-                rows = [fill(*x) for x in bpe.encode_batch(texts)]
-                new = [pa.array([r[n] for r in rows], t) for n, t in enumerate(types)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*batch.schema.names[:-1], *names])
+                at = 0
+                for texts in _slices([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]):
+                    kept = batch.slice(at, len(texts)).columns[:-1]
+                    at += len(texts)
+                    yield pa.RecordBatch.from_arrays([*kept, *fill(bpe.encode_batch(texts))], [*batch.schema.names[:-1], *names])
 
     return run
 
 
+def _ids_column(rows: list[tuple[bytes, str]]) -> pa.ListArray:
+    """The ids as a list column over their bytes, without an object for each."""
+    ends = np.cumsum([0, *(len(ids) // 4 for ids, _ in rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids for ids, _ in rows), "<i4")))
+
+
 def encode(df: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """Per row: id, token_ids (array of int), n_tokens, decoded (text)."""
     prepare(df)
 
-    def fill(ids: bytes, shown: str) -> tuple:
-        return [n for (n,) in struct.iter_unpack("<i", ids)], len(ids) // 4, shown
+    def fill(rows: list[tuple[bytes, str]]) -> list[pa.Array]:
+        return [_ids_column(rows), pa.array([len(ids) // 4 for ids, _ in rows], pa.int64()), pa.array([shown for _, shown in rows], pa.string())]
 
     kind = df.schema[doc_id].dataType.simpleString()
-    run = _over(vocabulary or default_vocabulary(), fill, ["token_ids", "n_tokens", "decoded"], [pa.list_(pa.int32()), pa.int64(), pa.string()])
+    run = _over(vocabulary or default_vocabulary(), fill, ["token_ids", "n_tokens", "decoded"])
     return df.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {kind}, token_ids array<int>, n_tokens long, decoded string")
 
 
@@ -295,9 +323,10 @@ def encode_digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text", vo
     """Per row: id, n_tokens, ids_sha256, decoded_sha256. The decoded text is that of the ids."""
     prepare(df)
 
-    def fill(ids: bytes, shown: str) -> tuple:
-        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(shown.encode("utf-8")).hexdigest()
+    def fill(rows: list[tuple[bytes, str]]) -> list[pa.Array]:
+        digests = ([hashlib.sha256(ids).hexdigest() for ids, _ in rows], [hashlib.sha256(shown.encode("utf-8")).hexdigest() for _, shown in rows])
+        return [pa.array([len(ids) // 4 for ids, _ in rows], pa.int64()), *[pa.array(d, pa.string()) for d in digests]]
 
     kind = df.schema[doc_id].dataType.simpleString()
-    run = _over(vocabulary or default_vocabulary(), fill, ["n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.string(), pa.string()])
+    run = _over(vocabulary or default_vocabulary(), fill, ["n_tokens", "ids_sha256", "decoded_sha256"])
     return df.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
