@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows handed to Python at once. Texts can be long, so batches are small.
-ARROW_ROWS = 500
+#: Rows, and about how many bytes, handed to Python at once. Texts and shingle sets can be long, so batches are small.
+ARROW_ROWS, ARROW_BYTES = 500, 8 << 20
 #: Words: maximal runs of characters other than space, tab, LF, VT, FF, CR.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORD = re.compile(WORD_PATTERN)
@@ -26,6 +26,8 @@ def prepare(df: DataFrame) -> SparkSession:
     spark = df.sparkSession
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 
