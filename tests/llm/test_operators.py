@@ -275,6 +275,41 @@ def test_nearest_recall_and_scores(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def recall_at_20(spark, x, every):
+    """(share of the true neighbours found, fewest rows of a query)."""
+    rows = pa.table({"vec_id": pa.array(range(len(x)), pa.int64()), "embedding": pa.array(list(x), pa.list_(pa.float32()))})
+    by = collections.defaultdict(set)
+    for r in ann.nearest(spark.createDataFrame(rows), every=every).collect():
+        by[r.query_id].add(r.vec_id)
+    wide, hits = x.astype(float), 0
+    for q in (asked := range(0, len(x), every)):
+        s = wide @ wide[q]
+        s[q] = -np.inf
+        hits += len(set(np.lexsort((np.arange(len(x)), -s))[:20].tolist()) & by[q])
+    return hits / (20 * len(asked)), min(len(by[q]) for q in asked)
+
+
+def test_nearest_with_a_hot_vector(spark):
+    """A vector that fills most of the table takes one list, and every query finds as many rows as it asks for."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 16)).astype(np.float32)
+    x[rng.random(4000) < 0.8] = x[1]
+    index = ann.Index(x.astype(float), 63)
+    assert len(index.coarse) == len(np.unique(index.coarse, axis=0)) == len(np.unique(index.cells(x.astype(float))))
+    recall, fewest = recall_at_20(spark, x, 40)
+    assert fewest == 20 and recall >= 0.9
+
+
+def test_nearest_widens_until_there_are_enough_rows(spark):
+    """Few rows a list and one list a query: others are visited until there are k rows; copies of the query's id don't count."""
+    x = np.random.default_rng(9).normal(size=(300, 8))
+    rows = [(n, v.tolist()) for n, v in enumerate(x)] + [(100, x[100].tolist())] * 70
+    got = collections.Counter(r.query_id for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=100, probes=1).collect())
+    assert got == {0: 20, 100: 20, 200: 20}
+    few = spark.createDataFrame([(0, [1.0, 0.0])] * 50 + [(n, [1.0, 0.0]) for n in range(1, 6)] + [(9, [-1.0, 0.5])], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in ann.nearest(few, probes=1).orderBy("rank").collect()] == [1, 2, 3, 4, 5, 9]
+
+
 # --- learned models ---
 
 

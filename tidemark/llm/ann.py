@@ -2,9 +2,11 @@
 
 Fitting uses a bounded sample (``SAMPLE`` vectors, those whose id hashes lowest): k-means gives coarse centroids,
 about the square root of the row count of them, and a codebook for each of ``PARTS`` slices of the residuals.
+Copies in the sample count once, so a vector that fills much of the table has one list.
 Every row is indexed: it lies in the list of its nearest centroid with one byte a slice. A query visits the
-``PROBES`` lists whose centroids have the largest inner product with it; in each, a table of the query's inner
-products with all codewords gives approximate scores, and the best ``SHORT`` distinct vectors are ranked exactly.
+``PROBES`` lists whose centroids have the largest inner product with it, and more until they hold as many other rows
+as are asked for; in each, a table of the query's inner products with all codewords gives approximate scores, and the
+best ``SHORT`` distinct vectors are ranked exactly.
 
 A list is split into blocks of about ``block`` rows, queries of a list too, and a task gets one block of either, so
 no list is ever gathered, however many rows are alike. Equal vectors count once in a shortlist and are expanded by
@@ -34,6 +36,8 @@ ROUNDS = 8
 
 
 def _kmeans(x: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """At most ``k`` different centroids, each the nearest one of some row. Copies of a row count once."""
+    x = np.unique(x, axis=0)
     rng = np.random.default_rng(seed)
     k = max(1, min(k, len(x)))
     c = x[rng.choice(len(x), k, replace=False)].copy()
@@ -43,7 +47,8 @@ def _kmeans(x: np.ndarray, k: int, seed: int) -> np.ndarray:
         total = np.zeros_like(c)
         np.add.at(total, near, x)
         c = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], c)
-    return c
+    c = np.unique(c, axis=0)
+    return c[np.unique(np.argmin((c**2).sum(1) - 2 * x @ c.T, axis=1))]
 
 
 class Index:
@@ -64,10 +69,13 @@ class Index:
         out = [np.argmin((book**2).sum(1) - 2 * rest[:, a:b] @ book.T, axis=1) for book, a, b in zip(self.books, self.cuts, self.cuts[1:], strict=False)]
         return np.stack(out, axis=1).astype(np.uint8)
 
-    def probes(self, q: np.ndarray, n: int) -> np.ndarray:
-        near = q @ self.coarse.T
-        n = min(n, near.shape[1])
-        return np.argpartition(-near, n - 1, axis=1)[:, :n]
+    def probes(self, q: np.ndarray, n: int, sizes: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, list) of the lists to visit: of those with rows the ``n`` best, and more until they hold ``need`` rows."""
+        full = np.flatnonzero(sizes)
+        order = full[np.argsort(-(q @ self.coarse[full].T), axis=1, kind="stable")]
+        before = np.cumsum(sizes[order], axis=1) - sizes[order]
+        at, place = np.nonzero((np.arange(len(full)) < n) | (before < need[:, None]))
+        return at, order[at, place]
 
     def approximate(self, q: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Scores (queries x rows): the centroid's inner product and the table's entries for the row's codes."""
@@ -123,13 +131,19 @@ def nearest(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k:
             if not batch.num_rows:
                 continue
             q = np.stack([np.frombuffer(b) for b in batch.column(1).to_pylist()])
-            to = own.probes(q, probes)
-            at = np.repeat(np.arange(len(q)), to.shape[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(to.ravel(), pa.int32()), pa.nulls(len(at), pa.binary())], ["__tm_id", "__tm_vec", "__tm_cell", "__tm_codes"])
+            at, to = own.probes(q, probes, sizes, k + batch.column(2).to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(to, pa.int32()), pa.nulls(len(at), pa.binary())], ["__tm_id", "__tm_vec", "__tm_cell", "__tm_codes"])
 
     schema = "__tm_id long, __tm_vec binary, __tm_cell int, __tm_codes binary"
     indexed = cut(rows.mapInArrow(place, schema), "index")
-    asked = cut(indexed.filter(F.col("__tm_id") % every == 0).select("__tm_id", "__tm_vec").mapInArrow(visit, schema), "visits")
+    sizes = np.zeros(len(index.value.coarse), np.int64)
+    for r in indexed.groupBy("__tm_cell").count().toLocalIterator():
+        sizes[r[0]] = r[1]
+    queries = indexed.filter(F.col("__tm_id") % every == 0).select("__tm_id", "__tm_vec")
+    # rows that share a query's id are no neighbours of it; those that share its vector too ask once
+    own = queries.groupBy("__tm_id").agg(F.count(F.lit(1)).alias("__tm_own")).filter("__tm_own > 1")
+    queries = queries.dropDuplicates().join(own, "__tm_id", "left").select("__tm_id", "__tm_vec", F.coalesce("__tm_own", F.lit(1)).alias("__tm_own"))
+    asked = cut(queries.mapInArrow(visit, schema), "visits")
     # how many blocks each list has of rows and of queries: one small row a list
     count = lambda d, c: d.groupBy("__tm_cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(c))
     blocks = cut(count(indexed, "__tm_nv").join(count(asked, "__tm_nq"), "__tm_cell"), "blocks")
@@ -155,7 +169,8 @@ def nearest(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k:
             groups: dict[bytes, list[int]] = {}  # equal vectors: their rows by id
             for n in order.tolist():
                 groups.setdefault(raw[n], []).append(n)
-            members = [g[: k + 1] for g in groups.values()]
+            # k rows of an id at most, so any query finds k rows of other ids among the first 2 k
+            members = [g if len(g) <= k else [n for i, n in enumerate(g) if i < k or vid[n] != vid[g[i - k]]][: 2 * k] for g in groups.values()]
             first = np.array([g[0] for g in members])
             x = np.stack([np.frombuffer(b) for b in groups])
             codes = np.stack([np.frombuffer(b, np.uint8) for b in v.column("__tm_codes").to_pylist()])[first]
