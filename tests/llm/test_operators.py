@@ -310,6 +310,16 @@ def test_nearest_widens_until_there_are_enough_rows(spark):
     assert [r.vec_id for r in ann.nearest(few, probes=1).orderBy("rank").collect()] == [1, 2, 3, 4, 5, 9]
 
 
+@pytest.mark.parametrize("centres", [0, 300])
+def test_nearest_recall_over_several_hundred_lists(spark, centres):
+    """The lists that a query visits grow with the table where neighbours lie scattered."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(50_000, 64)) if not centres else rng.normal(size=(centres, 64))[rng.integers(0, centres, 50_000)] + 0.4 * rng.normal(size=(50_000, 64))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    recall, fewest = recall_at_20(spark, x, 200)
+    assert fewest == 20 and recall >= 0.9, recall
+
+
 # --- learned models ---
 
 

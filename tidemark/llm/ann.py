@@ -3,10 +3,11 @@
 Fitting uses a bounded sample (``SAMPLE`` vectors, those whose id hashes lowest): k-means gives coarse centroids,
 about the square root of the row count of them, and a codebook for each of ``PARTS`` slices of the residuals.
 Copies in the sample count once, so a vector that fills much of the table has one list.
-Every row is indexed: it lies in the list of its nearest centroid with one byte a slice. A query visits the
-``PROBES`` lists whose centroids have the largest inner product with it, and more until they hold as many other rows
-as are asked for; in each, a table of the query's inner products with all codewords gives approximate scores, and the
-best ``SHORT`` distinct vectors are ranked exactly.
+Every row is indexed: it lies in the list of its nearest centroid with one byte a slice. A query visits the lists whose
+centroids have the largest inner product with it: ``PROBES`` at least, so many that they hold ``HELD`` of the true
+neighbours of ``MEASURED`` queries, for which all rows are scored, and more until they hold as many other rows as are
+asked for. In each block of a list, a table of the query's inner products with all codewords gives approximate scores,
+and the best ``SHORT`` distinct vectors are ranked exactly.
 
 A list is split into blocks of about ``block`` rows, queries of a list too, and a task gets one block of either, so
 no list is ever gathered, however many rows are alike. Equal vectors count once in a shortlist and are expanded by
@@ -32,6 +33,8 @@ from tidemark.llm.common import cut, prepare, sample_by_hash
 
 SAMPLE, PARTS, CODES = 20_000, 16, 64
 PROBES, SHORT, NEAREST = 24, 120, 20
+#: Queries whose true neighbours are looked up, the share of these that the visited lists must hold, and rows a block at most.
+MEASURED, HELD, BLOCK = 256, 0.96, 1000
 ROUNDS = 8
 
 
@@ -69,6 +72,14 @@ class Index:
         out = [np.argmin((book**2).sum(1) - 2 * rest[:, a:b] @ book.T, axis=1) for book, a, b in zip(self.books, self.cuts, self.cuts[1:], strict=False)]
         return np.stack(out, axis=1).astype(np.uint8)
 
+    def needed(self, q: np.ndarray, query: np.ndarray, cell: np.ndarray, sizes: np.ndarray, share: float) -> int:
+        """Lists to visit so that they hold ``share`` of the neighbours, given as (row of ``q``, list) pairs."""
+        full = np.flatnonzero(sizes)
+        order = full[np.argsort(-(q @ self.coarse[full].T), axis=1, kind="stable")]
+        place = np.zeros((len(q), len(sizes)), np.int64)
+        np.put_along_axis(place, order, np.arange(len(full))[None, :], axis=1)
+        return int(np.quantile(place[query, cell], share, method="higher")) + 1 if len(query) else 1
+
     def probes(self, q: np.ndarray, n: int, sizes: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, list) of the lists to visit: of those with rows the ``n`` best, and more until they hold ``need`` rows."""
         full = np.flatnonzero(sizes)
@@ -113,7 +124,7 @@ def nearest(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k:
     some = sample_by_hash(rows, F.col("__tm_id"), SAMPLE, n).select("__tm_vec").toArrow().column(0).combine_chunks()  # bounded
     lists = max(1, min(65_536, int(math.sqrt(n))))
     index = spark.sparkContext.broadcast(Index(_matrix(some, dim), lists))
-    block = max(64, int(math.sqrt(n)))
+    block = max(64, min(BLOCK, int(math.sqrt(n))))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Index = index.value
@@ -143,6 +154,8 @@ def nearest(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k:
     # rows that share a query's id are no neighbours of it; those that share its vector too ask once
     own = queries.groupBy("__tm_id").agg(F.count(F.lit(1)).alias("__tm_own")).filter("__tm_own > 1")
     queries = queries.dropDuplicates().join(own, "__tm_id", "left").select("__tm_id", "__tm_vec", F.coalesce("__tm_own", F.lit(1)).alias("__tm_own"))
+    if np.count_nonzero(sizes) > probes:
+        probes = max(probes, _measure(indexed, queries.select("__tm_id", "__tm_vec"), index.value, sizes, k))
     asked = cut(queries.mapInArrow(visit, schema), "visits")
     # how many blocks each list has of rows and of queries: one small row a list
     count = lambda d, c: d.groupBy("__tm_cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(c))
@@ -172,6 +185,7 @@ def nearest(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k:
             # k rows of an id at most, so any query finds k rows of other ids among the first 2 k
             members = [g if len(g) <= k else [n for i, n in enumerate(g) if i < k or vid[n] != vid[g[i - k]]][: 2 * k] for g in groups.values()]
             first = np.array([g[0] for g in members])
+            lowest, highest = vid[first], vid[[g[-1] for g in groups.values()]]
             x = np.stack([np.frombuffer(b) for b in groups])
             codes = np.stack([np.frombuffer(b, np.uint8) for b in v.column("__tm_codes").to_pylist()])[first]
             qs = np.stack([np.frombuffer(b) for b in q.column("__tm_vec").to_pylist()])
@@ -179,8 +193,17 @@ def nearest(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k:
             short = min(SHORT, len(members))
             top = np.argpartition(-near, short - 1, axis=1)[:, :short]
             for i in range(len(qid)):
-                exact = exact_scores(x[top[i]], qs[i])
-                rows_ = [(m, s) for t, s in zip(top[i].tolist(), exact.tolist(), strict=True) for m in members[t]]
+                # rows that rounding can't bring among the k best need no exact sum
+                close = top[i][(lowest[top[i]] != qid[i]) | (highest[top[i]] != qid[i])]
+                rough = x[close] @ qs[i]
+                if len(close) > k:
+                    slack = dim * 1e-15 * float((np.abs(x[close]) @ np.abs(qs[i])).max())
+                    best = rough >= np.partition(rough, -k)[-k] - slack
+                    close = close[best]
+                exact = exact_scores(x[close], qs[i])
+                rows_ = [(m, s) for t, s in zip(close.tolist(), exact.tolist(), strict=True) for m in members[t]]
+                if not rows_:
+                    continue
                 at = np.array([m for m, _ in rows_])
                 ids, scores = vid[at], np.array([s for _, s in rows_])
                 # a row is not its own neighbour; of rows that repeat the id none is
@@ -198,6 +221,33 @@ def nearest(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _measure(indexed: DataFrame, queries: DataFrame, index: Index, sizes: np.ndarray, k: int) -> int:
+    """Lists to visit, from the lists in which the true neighbours of ``MEASURED`` queries lie: all rows are scored for these."""
+    some = queries.orderBy(F.xxhash64("__tm_id", F.lit("measure"))).limit(MEASURED).toArrow()
+    if not some.num_rows:
+        return 1
+    qid, q = some.column(0).to_numpy(), np.stack([np.frombuffer(b) for b in some.column(1).to_pylist()])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, cell = np.full((len(q), k), -np.inf), np.zeros((len(q), k), np.int32)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.stack([np.frombuffer(b) for b in batch.column(1).to_pylist()])
+            new = np.where(qid[:, None] == batch.column(0).to_numpy(zero_copy_only=False)[None, :], -np.inf, q @ x.T)
+            score = np.concatenate([score, new], axis=1)
+            cell = np.concatenate([cell, np.broadcast_to(batch.column(2).to_numpy(), new.shape)], axis=1)
+            top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+            score, cell = np.take_along_axis(score, top, axis=1), np.take_along_axis(cell, top, axis=1)
+        at, place = np.nonzero(np.isfinite(score))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(cell[at, place], pa.int32()), pa.array(score[at, place])], ["q", "cell", "score"])
+
+    found = indexed.select("__tm_id", "__tm_vec", "__tm_cell").mapInArrow(best, "q int, cell int, score double")
+    order = Window.partitionBy("q").orderBy(F.desc("score"))
+    true = found.withColumn("no", F.row_number().over(order)).filter(F.col("no") <= k).select("q", "cell").toArrow()  # at most k a query
+    return index.needed(q, true.column(0).to_numpy(), true.column(1).to_numpy(), sizes, HELD)
+
+
 def exact_scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Inner products in double precision, each summed in the same order whatever rows stand beside it."""
     return np.array([math.fsum(p) for p in (x * q).tolist()])
