@@ -178,6 +178,19 @@ def test_near_odd(odd, empty):
     assert near_dedup.near_dedup(empty).count() == 0
 
 
+def test_near_dedup_decides_per_row(spark):
+    """Rows that share an id, or have none, are kept or lost each by its own text."""
+    rnd = random.Random(4)
+    a, b, c, d, e = (" ".join(f"{p}{rnd.randrange(10_000)}" for _ in range(80)) for p in "abcde")
+    near = lambda t, n: f"{t} more{n}"
+    rows = [(3, a), (5, near(a, 1)), (5, b), (None, near(a, 2)), (None, "x y z alone"), (None, c), (None, near(c, 1)), (None, near(c, 2)), (7, d), (7, near(d, 1)), (7, near(d, 2))]
+    rows += [(8, e), (8, e.upper()), (9, "twice here"), (9, "twice here"), (10, None), (10, None), (11, "")]
+    left = collections.Counter((r.doc_id, r.text) for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    assert set(left.values()) == {1}
+    one_of = {(None, c): "c", (None, near(c, 1)): "c", (None, near(c, 2)): "c", (7, d): "d", (7, near(d, 1)): "d", (7, near(d, 2)): "d", (8, e): "e", (8, e.upper()): "e"}
+    assert sorted(str(one_of.get(r, r)) for r in left) == sorted(map(str, ["c", "d", "e", (3, a), (5, b), (None, "x y z alone"), (9, "twice here"), (10, None), (11, "")]))
+
+
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), min_size=1, max_size=40))
 def test_components(spark, edges):
