@@ -377,6 +377,33 @@ def test_automaton_equals_edit_distance(word):
     assert toxicity.Lexicon(words, stems).edits(word) == want
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text("abcd", max_size=12))
+def test_automaton_equals_edit_distance_of_stems(word):
+    words, stems = ["abcda", "dcb"], ["cadd", "bacab", "dacbabcd"]
+    best = [d for w in words if (d := distance(word, w)) <= toxicity.edits_for(len(w))]
+    best += [d for s in stems for n in range(len(word) + 1) if (d := distance(word[:n], s)) <= toxicity.edits_for(len(s))]
+    assert toxicity.Lexicon(words, stems).edits(word) == min(best, default=-1)
+
+
+def test_toxicity_misspelt_stems():
+    lexicon = toxicity.Lexicon([], ["idiot", "worthless"])
+    assert [lexicon.edits(w) for w in ("idiots", "idoits", "idlots", "wortlessness", "wrthlesness", "harmless", "idea")] == [0, -1, 1, 1, 2, -1, -1]
+
+
+def test_toxicity_learns_stems_with_edits(spark):
+    """A term known by its inflections is a stem, and its misspelt forms are hits."""
+    rnd = random.Random(2)
+    forms = ["worthless", "worthlessness", "worthlessly", "worthlesser"]
+    some = lambda: " ".join(f"{rnd.choice('bcdfgh')}o{rnd.choice('klmnp')}u{rnd.randrange(90)}" for _ in range(20))
+    rows = [(n, f"{some()} {rnd.choice(forms)} {some()}" if n % 4 == 0 else some(), int(n % 4 == 0)) for n in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert lexicon.stems and not lexicon.strict
+    assert all(lexicon.score(f"so {w} today") >= 0.7 for w in ("worthlessness", "worhtless", "wortlessness", "w0rthlesly"))
+    assert lexicon.score("all is well") < 0.1
+
+
 def test_toxicity_context_and_spelling():
     lexicon = toxicity.Lexicon(["idiot", "worthless"], [])
     plain, misspelt, quoted = (lexicon.score(t) for t in ("you are an idiot", "you are an idi0t, w0rthles", 'the word "idiot" is rude'))

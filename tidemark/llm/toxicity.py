@@ -4,11 +4,12 @@ Learning, on a bounded sample of labelled rows (about ``SAMPLE_ROWS``, those who
 1. Words, and beginnings of words, that occur almost only in toxic documents become the lexicon. An entry is
    either a whole word, or a stem with which words begin.
 2. The lexicon is a trie; the Levenshtein automaton of a word, intersected with it, finds all entries within one or
-   two edits. The sets of (trie node, edits) that arise are the states of one automaton over letters, which is
+   two edits, stems within as many of some beginning of the word. The sets of (trie node, edits) that arise are the states of one automaton over letters, which is
    determined lazily, so a word is read letter by letter and most words end after two or three.
 3. A window of ``WINDOW`` characters about each hit tells quotation (quote marks around it, or a word of reporting)
    from abuse. How often a document is toxic is counted for its strongest kind of hit: exact or misspelt, plain or
-   quoted. Misspelt forms that clean documents of the sample use are not hits.
+   quoted. Misspelt forms that clean documents of the sample use are not hits, and a stem has no edits if its near
+   spellings in the sample, with the prior of misspelt hits, would score below ``THRESHOLD``.
 
 The score is 1 - (1 - p) ** (1 + ln(hits)), with p the smoothed rate of the strongest kind, and the smoothed rate of
 hitless documents if there is no hit. The whole text is read.
@@ -60,22 +61,23 @@ def edits_for(length: int) -> int:
 class Lexicon:
     """Trie of entries and the lazily determined automaton over it."""
 
-    def __init__(self, words: Iterable[str], stems: Iterable[str], exempt: Iterable[str] = (), rates: tuple[float, ...] = PRIORS, no_hit: float = NO_HIT) -> None:
+    def __init__(self, words: Iterable[str], stems: Iterable[str], exempt: Iterable[str] = (), rates: tuple[float, ...] = PRIORS, no_hit: float = NO_HIT, strict: Iterable[str] = ()) -> None:
         self.words, self.stems, self.exempt = sorted(set(words)), sorted(set(stems)), frozenset(exempt)
         self.rates, self.no_hit = rates, no_hit
+        self.strict = sorted(set(strict))  # stems without edits
         self.prepare()
 
     def __reduce__(self):
-        return Lexicon, (self.words, self.stems, self.exempt, self.rates, self.no_hit)
+        return Lexicon, (self.words, self.stems, self.exempt, self.rates, self.no_hit, self.strict)
 
     def prepare(self) -> None:
         self.children: list[dict[str, int]] = [{}]
         self.whole: dict[int, int] = {}  # node: edits allowed for the word that ends there
-        self.begun: set[int] = set()  # nodes at which a stem ends
+        self.begun: dict[int, int] = {}  # node at which a stem ends: edits allowed for the beginning of a word
         self.allow: list[int] = [0]  # most edits of any entry through the node
         for entries, is_stem in ((self.words, False), (self.stems, True)):
             for entry in entries:
-                at, k = 0, 0 if is_stem else edits_for(len(entry))
+                at, k = 0, 0 if is_stem and entry in self.strict else edits_for(len(entry))
                 self.allow[0] = max(self.allow[0], k)
                 for letter in entry:
                     if letter not in self.children[at]:
@@ -85,23 +87,21 @@ class Lexicon:
                     at = self.children[at][letter]
                     self.allow[at] = max(self.allow[at], k)
                 if is_stem:
-                    self.begun.add(at)
+                    self.begun[at] = k
                 else:
                     self.whole[at] = k
         self.steps: list[dict[str, int]] = []
         self.ends: list[int] = []
         self.numbers: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
-        #: Numbers: 0 is the dead state, 1 the state in which a stem has been read exactly.
+        #: Numbers: 0 is the dead state, 1 the state in which a stem has been read exactly. Node -1: a stem has been read.
         self._state(frozenset())
-        self.sets.append(frozenset([(-1, 0)]))
-        self.steps.append({})
-        self.ends.append(0)
+        self._state(frozenset([(-1, 0)]))
         self.start = self._state(self._closed({0: 0}))
         self.memory: dict[str, int] = {}
 
-    def _closed(self, low: dict[int, int]) -> frozenset:
-        """With the letters of the entry that are skipped (deletions) at one edit each."""
+    def _closed(self, low: dict[int, int], read: int = 99) -> frozenset:
+        """With the letters of the entry that are skipped (deletions) at one edit each; ``read``: least edits to a stem so far."""
         todo = list(low)
         while todo:
             node = todo.pop()
@@ -110,32 +110,34 @@ class Lexicon:
                 if n <= self.allow[child] and n < low.get(child, 99):
                     low[child] = n
                     todo.append(child)
-        return frozenset(low.items())
+        read = min([read, *(n for node, n in low.items() if n <= self.begun.get(node, -1))])
+        # whatever is not better than the stem that has been read can't become better
+        return frozenset([*((node, n) for node, n in low.items() if n < read), *([(-1, read)] if read < 99 else [])])
 
     def _state(self, members: frozenset) -> int:
         if members not in self.numbers:
             self.numbers[members] = len(self.sets)
             self.sets.append(members)
             self.steps.append({})
-            found = [n for node, n in members if node in self.whole and n <= self.whole[node]]
+            found = [n for node, n in members if node == -1 or n <= self.whole.get(node, -1)]
             self.ends.append(-1 if not found else min(found))
         return self.numbers[members]
 
     def _step(self, state: int, letter: str) -> int:
         """Next state: letters of the word match, replace one of the entry, or are added."""
         low: dict[int, int] = {}
+        read = 99
         for node, n in self.sets[state]:
+            if node == -1:
+                read = n
+                continue
             if n + 1 <= self.allow[node]:
                 low[node] = min(low.get(node, 99), n + 1)
             for own, child in self.children[node].items():
                 m = n + (own != letter)
                 if m <= self.allow[child] and m < low.get(child, 99):
                     low[child] = m
-            child = self.children[node].get(letter)
-            if child is not None and n == 0 and child in self.begun:
-                self.steps[state][letter] = 1
-                return 1
-        to = self.steps[state][letter] = self._state(self._closed(low)) if low else 0
+        to = self.steps[state][letter] = self._state(self._closed(low, read))
         return to
 
     def edits(self, word: str) -> int:
@@ -293,12 +295,23 @@ def calibrate(lexicon: Lexicon, some: DataFrame, n: dict[int, int]) -> Lexicon:
     by: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
     for what, name, toxic, count in found:
         by[what, name][toxic] += count
+    # a stem whose near spellings are too often clean documents' words to pass for toxic is taken exactly; rates are counted anew
+    near = [(name, clean, toxic) for (what, name), (clean, toxic) in by.items() if what == "f"]
+    strict = []
+    for stem in set(lexicon.stems).difference(lexicon.strict):
+        alone = Lexicon([], [stem])
+        mine = [(clean, toxic) for name, clean, toxic in near if alone.look(name) > 0]
+        c, t = sum(c for c, _ in mine), sum(t for _, t in mine)
+        if t + PRIOR * PRIORS[1] < THRESHOLD * (c + t + PRIOR):
+            strict.append(stem)
+    if strict:
+        return calibrate(Lexicon(lexicon.words, lexicon.stems, strict=[*lexicon.strict, *strict]), some, n)
     # a form is exempt if documents with it are about as seldom toxic as others
     exempt = [name for (what, name), (clean, toxic) in by.items() if what == "f" and clean > toxic]
     rate = lambda k, kind: (by["k", str(kind)][1] + PRIOR * PRIORS[k]) / (sum(by["k", str(kind)]) + PRIOR)
     rates = (rate(0, 0), PRIORS[1], rate(2, 2), PRIORS[3])
     clean, toxic = by["k", "-1"]
-    return Lexicon(lexicon.words, lexicon.stems, exempt, rates, (toxic + PRIOR * NO_HIT) / (clean + toxic + PRIOR))
+    return Lexicon(lexicon.words, lexicon.stems, exempt, rates, (toxic + PRIOR * NO_HIT) / (clean + toxic + PRIOR), lexicon.strict)
 
 
 _here: dict[str, Lexicon] = {}
@@ -307,7 +320,7 @@ _here: dict[str, Lexicon] = {}
 def _held(shared) -> Lexicon:
     """The worker's own copy, with what it has learned of words so far."""
     lexicon = shared.value
-    key = repr((lexicon.words, lexicon.stems, sorted(lexicon.exempt), lexicon.rates, lexicon.no_hit))
+    key = repr((lexicon.words, lexicon.stems, sorted(lexicon.exempt), lexicon.rates, lexicon.no_hit, lexicon.strict))
     if key not in _here:
         _here.clear()
         _here[key] = lexicon
