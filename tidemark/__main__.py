@@ -22,11 +22,13 @@ def main(args: list[str] | None = None) -> None:
         if name == "compress":
             one.add_argument("--precision", type=int, default=C.PRECISION, help="fraction bits, held to 8 to 20")
             one.add_argument("--chunk", type=int, default=C.CHUNK)
+            one.add_argument("--bound", type=float, default=C.BOUND, help="largest error to hold")
+            one.add_argument("--no-bound", action="store_true", help="take the precision as it is, whatever the error")
     a = parser.parse_args(args)
     spark = SparkSession.builder.appName("tidemark").getOrCreate()
     if a.to == "compress":
         precision = min(max(a.precision, C.MIN_PRECISION), C.MAX_PRECISION)
-        windows = compress(read_raw(spark, a.source), a.chunk, precision)
+        windows = compress(read_raw(spark, a.source), a.chunk, precision, not a.no_bound, a.bound)
         files.write_files(files.pack_containers(windows, a.chunk, precision=precision), a.target, "tmk")
     else:
         files.write_files(files.pack_raw(files.unpack_containers(files.read_files(spark, a.source, "tmk"))), a.target, "bin")

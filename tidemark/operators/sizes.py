@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import config as C
-from tidemark.functions.columns import bit_length, quantize, varint_length, zigzag
+from tidemark.functions.columns import LARGEST, bit_length, finite, quantize, quantize_all, varint_length, zigzag
 
 
 def quantized(series: DataFrame, window: int, bits: int = C.PRECISION) -> DataFrame:
@@ -17,7 +17,8 @@ def quantized(series: DataFrame, window: int, bits: int = C.PRECISION) -> DataFr
 
 
 def sizes(q: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """A row per window: n, and the size of encodings 0, 1, 2, 4 and 5. One shuffle, by window."""
+    """A row per window: n, and the size of encodings 0, 1, 2, 4 and 5, null where a sample has no integer (``quantize``).
+    One shuffle, by window."""
     keys = keys or ["series_id", "window_no"]
     w = Window.partitionBy(*keys).orderBy("x")
     before = F.lag("q", 1).over(w)
@@ -29,25 +30,29 @@ def sizes(q: DataFrame, keys: list[str] | None = None) -> DataFrame:
     run_length = F.row_number().over(w) - F.coalesce(F.max(F.when(F.col("change") == 1, F.row_number().over(w) - 1)).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
     rows = rows.withColumn("length", F.when(last.isNull() | (last != F.col("run")), run_length))
     ends = F.col("length").isNotNull()
+    known = lambda size: F.when(F.count("q") == F.count(F.lit(1)), size)
     return rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(varint_length(F.col("z"))).alias("size_0"),
-        (1 + F.ceil(F.count(F.lit(1)) * F.max(bit_length(F.col("z"))) / 8)).cast("long").alias("size_1"),
-        F.sum(varint_length(zigzag(F.col("d")))).alias("size_2"),
-        (varint_length(F.max("run")) + F.sum(F.when(ends, varint_length(F.col("z")) + varint_length(F.col("length").cast("long"))))).alias("size_4"),
-        F.sum(varint_length(zigzag(F.col("dd")))).alias("size_5"),
+        known(F.sum(varint_length(F.col("z")))).alias("size_0"),
+        known((1 + F.ceil(F.count(F.lit(1)) * F.max(bit_length(F.col("z"))) / 8)).cast("long")).alias("size_1"),
+        known(F.sum(varint_length(zigzag(F.col("d"))))).alias("size_2"),
+        known(varint_length(F.max("run")) + F.sum(F.when(ends, varint_length(F.col("z")) + varint_length(F.col("length").cast("long"))))).alias("size_4"),
+        known(F.sum(varint_length(zigzag(F.col("dd"))))).alias("size_5"),
     )
 
 
 def outlier_sizes(q: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """A row per window: size of encoding 3. Exact medians, so two groupings."""
+    """A row per window: size of encoding 3, null where a sample has no integer or the count of outliers might not fit its
+    two bytes. Exact medians, so two groupings."""
     keys = keys or ["series_id", "window_no"]
     w = Window.partitionBy(*keys)
     rows = q.withColumn("z", zigzag(F.col("q"))).withColumn("off", F.abs(F.col("q") - F.median("q").over(w)))
     rows = rows.withColumn("mad", F.median("off").over(w))
     out = (F.col("mad") > 0) & (F.col("off") > C.MAD_FACTOR * F.col("mad"))
     inner = F.max(F.when(out, 1).otherwise(bit_length(F.col("z"))))
-    return rows.groupBy(*keys).agg((3 + F.sum(F.when(out, 4 + varint_length(F.col("z"))).otherwise(0)) + F.ceil(F.count(F.lit(1)) * inner / 8)).cast("long").alias("size_3"))
+    size = (3 + F.sum(F.when(out, 4 + varint_length(F.col("z"))).otherwise(0)) + F.ceil(F.count(F.lit(1)) * inner / 8)).cast("long")
+    n = F.count(F.lit(1))
+    return rows.groupBy(*keys).agg(F.when((F.count("q") == n) & (n < 65_536), size).alias("size_3"))
 
 
 def alp_grid() -> list[tuple[int, int, int, float]]:
@@ -74,3 +79,27 @@ def alp_sizes(series: DataFrame) -> DataFrame:
     return chunks.groupBy("series_id").agg(
         F.sum("n").alias("n"), F.count_if(packed >= raw).alias("raw_chunks"), (4 + F.sum(F.least(packed, raw))).cast("long").alias("bytes")
     )
+
+
+def closed_forms(series: DataFrame) -> DataFrame:
+    """series_id, n, and bytes and largest error of the codecs whose sizes are sums over neighbouring samples: second
+    differences at 12 and 16 bits, runs of equal values, blocks of 64 in steps of the bound. One shuffle, by signal."""
+    w = Window.partitionBy("series_id").orderBy("idx")
+    block = Window.partitionBy("series_id", "block")
+    v = F.col("value")
+    rows = series.withColumn("block", F.expr("idx div 64")).withColumns({f"q{bits}": quantize_all(v, bits) for bits in (12, 16)})
+    rows = rows.withColumn("mean", F.coalesce(F.avg(F.when(finite(v), v)).over(block), F.lit(0.0)))
+    rows = rows.withColumns({f"d{bits}": F.col(f"q{bits}") - F.lag(f"q{bits}", 1).over(w) for bits in (12, 16)} | {"same": F.coalesce(F.lag("value", 1).over(w) == v, F.lit(False)) & ~F.isnan(v)})
+    rows = rows.withColumns({f"dd{bits}": F.col(f"d{bits}") - F.coalesce(F.lag(f"d{bits}", 1).over(w), F.lit(0)) for bits in (12, 16)})
+    step = F.rint((F.when(finite(v), v).otherwise(F.col("mean")) - F.col("mean")) / C.BOUND)
+    rows = rows.withColumn("qz", F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), step)).cast("long"))
+    out = [F.count(F.lit(1)).alias("n")]
+    for bits in (12, 16):
+        dd = F.col(f"dd{bits}")
+        out.append((F.lit(8) + F.coalesce(F.sum(F.when(dd.isNotNull(), varint_length(zigzag(dd)))), F.lit(0))).alias(f"dod{bits}"))
+        out.append(F.max(F.when(finite(v), F.abs(v - F.col(f"q{bits}") / float(1 << bits)))).alias(f"dod{bits}_error"))
+    out.append((12 * F.sum((~F.col("same")).cast("long"))).alias("rle"))
+    # 16 bytes for length, step and size of a block, and 12 a block for its mean and length
+    out.append((16 + 12 * F.countDistinct("block") + F.sum(varint_length(zigzag(F.col("qz"))))).alias("zfp"))
+    out.append(F.max(F.when(finite(v), F.abs(v - F.col("mean") - F.col("qz") * C.BOUND))).alias("zfp_error"))
+    return rows.groupBy("series_id").agg(*out)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import quote, unquote
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-from tidemark.functions import codec, config as C
+from tidemark.functions import blocks, codec, config as C
+from tidemark.operators.windows import as_window
 
 #: Blocks of one container: payloads stay far below the 4 GiB that its size field can tell.
 BLOCKS = 64
@@ -31,7 +32,7 @@ def pack_containers(windows: DataFrame, chunk: int = C.CHUNK, blocks: int = BLOC
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.sort_by("start_idx").to_pylist()
-        records = [{"length": r["window_length"], "model": r["model_id"], "encoding": r["encoding_id"], "precision": r["precision_bits"], "params": r["model_params"], "body": r["residuals"]} for r in rows]
+        records = [as_window(r) for r in rows]
         return pa.table(
             [pa.array([rows[0]["series_id"]], pa.string()), pa.array([rows[0]["start_idx"]], pa.int64()), pa.array([sum(r["length"] for r in records)], pa.int64()), pa.array([codec.pack_container(records, precision, chunk)], pa.binary())],
             names=["series_id", "start_idx", "n", "content"],
@@ -51,9 +52,17 @@ def unpack_containers(containers: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, at, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                for w in codec.unpack_container(data):
-                    yield _samples(name, at, codec.decode_window(w))
-                    at += w["length"]
+                part, size = [], 0
+                for w in [*codec.unpack_container(data), None]:  # many windows at once, never a whole container's samples
+                    if part and (w is None or size >= 1 << 18):
+                        y = blocks.decode_windows(part)
+                        for k in range(0, len(y), 65_536):
+                            yield _samples(name, at + k, y[k : k + 65_536])
+                        at += len(y)
+                        part, size = [], 0
+                    if w:
+                        part.append(w)
+                        size += w["length"]
 
     return containers.select("series_id", "start_idx", "content").mapInArrow(run, "series_id string, idx long, value double")
 
@@ -85,13 +94,16 @@ def unpack_raw(parts: DataFrame) -> DataFrame:
 def read_files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     """series_id, start_idx, content of the files that the sink wrote below ``path``."""
 
-    @F.udf("struct<series_id: string, start_idx: long>")
-    def named(p: str):
-        folder, name = p.rstrip("/").split("/")[-2:]
-        return unquote(unquote(folder)), int(name.split(".")[0])
+    parts = F.split("path", "/")
+    unquoted = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))  # noqa: E731  the path itself is a quoted one
+    found = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffix}").option("recursiveFileLookup", "true").load(path)
+    return found.select(unquoted(unquoted(F.element_at(parts, -2))).alias("series_id"), F.split_part(F.element_at(parts, -1), F.lit("."), F.lit(1)).cast("long").alias("start_idx"), "content")
+
 
+def list_files(spark: SparkSession, path: str, suffix: str = "bin") -> DataFrame:
+    """path, length of the files of one kind below ``path``, sorted by path."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffix}").option("recursiveFileLookup", "true").load(path)
-    return found.select(named("path").alias("at"), "content").select("at.series_id", "at.start_idx", "content")
+    return found.select("path", "length").orderBy("path")
 
 
 @dataclass

@@ -37,7 +37,7 @@ def compress_stream(series: DataFrame, chunk: int = C.CHUNK, precision: int = C.
             state.remove()
         starts = np.flatnonzero(np.diff(idx, prepend=idx[:1] - 2) != 1)
         for a, b in zip(starts, [*starts[1:], len(idx)], strict=True):
-            yield window_rows(key[0], int(idx[a]), y[a:b], chunk, precision, enforce, bound).to_pandas()
+            yield window_rows([(key[0], int(idx[a]), y[a:b])], chunk, precision, enforce, bound).to_pandas()
 
     rows = series.filter(F.col("value").isNotNull()).withColumn("block_no", F.expr(f"idx div {chunk}"))
     return rows.groupBy("series_id", "block_no").applyInPandasWithState(run, WINDOWS, "idx binary, y binary", "append", GroupStateTimeout.NoTimeout if patience_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
