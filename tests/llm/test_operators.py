@@ -55,9 +55,9 @@ def library():
 
 def same_as_library(library, texts):
     own = bpe.load(bpe.default_vocabulary())
-    for text, (ids, shown), want in zip(texts, own.encode_batch(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+    for text, ids, want in zip(texts, own.encode_batch(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
         assert ids == struct.pack(f"<{len(want.ids)}I", *want.ids), text
-        assert shown == own.decode(ids) == library.decode(want.ids, skip_special_tokens=False)
+        assert own.decode(ids) == library.decode(want.ids, skip_special_tokens=False)
 
 
 @settings(max_examples=150, deadline=None)
@@ -75,6 +75,8 @@ def test_bpe_rows(spark, odd, empty):
     assert (1, 0) in got and (2, 0) in got and (4, 2) in got
     assert bpe.encode_digests(odd).count() == len(ODD)
     assert bpe.encode(empty).count() == 0
+    coded = bpe.encode(odd)
+    assert sorted(map(str, bpe.decode(coded).collect())) == sorted(map(str, coded.select("doc_id", "decoded").collect()))
 
 
 def test_bpe_slices_and_generations(library, docs, monkeypatch):
@@ -84,7 +86,7 @@ def test_bpe_slices_and_generations(library, docs, monkeypatch):
     monkeypatch.setattr(bpe, "SLICE", 300)
     texts = [*(r[0] for r in docs.orderBy("doc_id").select("text").limit(60).collect()), None, "", "x" * 900, "a b"]
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["doc_id", "text"])
-    run = bpe._over(bpe.default_vocabulary(), lambda rows: [bpe._ids_column(rows), pa.array([shown for _, shown in rows])], ["ids", "shown"])
+    run = bpe._over(bpe.default_vocabulary(), lambda own, rows: [bpe._ids_column(rows), pa.array(map(own.decode, rows))], ["ids", "shown"])
     got = pa.Table.from_batches(run(iter([batch, batch.slice(0, 0), batch])))
     want = [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)] * 2
     assert got["doc_id"].to_pylist() == [*range(len(texts))] * 2
@@ -191,6 +193,43 @@ def test_near_dedup_decides_per_row(spark):
     assert sorted(str(one_of.get(r, r)) for r in left) == sorted(map(str, ["c", "d", "e", (3, a), (5, b), (None, "x y z alone"), (9, "twice here"), (10, None), (11, "")]))
 
 
+def test_common_passages_do_not_chain_texts(spark, monkeypatch):
+    """Texts that share half of their shingles with all others: pairs compared stay in proportion to the rows, families
+    are those of copies, and the copies are found."""
+    rnd = random.Random(6)
+    passage = [f"p{n}" for n in range(120)]
+    rows = []
+    for n in range(1500):
+        own = [f"w{rnd.randrange(10**6)}" for _ in range(60)]
+        rows.append((n, " ".join([*own[:30], *passage, *own[30:]])))
+    rows += [(2000 + n, rows[n][1] + " end") for n in range(0, 1500, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    seen = {}
+    for name in ("cut",):
+        real = getattr(near_dedup, name)
+
+        def spy(table, what, real=real):
+            out = real(table, what)
+            if what in ("pairs", "members"):
+                seen[what] = seen.get(what, 0) + out.count()
+            return out
+
+        monkeypatch.setattr(near_dedup, name, spy)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(df, words=5, percent=80).collect()}
+    assert all(got[2000 + n] == n for n in range(0, 1500, 10)) and all(got[n] == n for n in range(1500))
+    assert seen["pairs"] < 40 * len(rows) and seen["members"] < 400
+
+
+def test_unlike_members_of_a_table_meet_again(spark, monkeypatch):
+    """The member that all are held against may be unlike two that are linked: they meet in a smaller table."""
+    held = spark.createDataFrame([(bytes([n]), bytes(sketch), [100 + n // 2, 7]) for n, sketch in enumerate([[0] * 8, [1] * 8, [1] * 8, [2] * 8, [2] * 8])], "__tm_set binary, __tm_sketch binary, __tm_values array<long>")
+    tables = held.selectExpr("__tm_set", "5L as __tm_key")
+    found = {(bytes(r.a), bytes(r.b)) for r in near_dedup._alike(tables, held, 6).collect()}
+    linked = lambda x, y: (bytes([x]), bytes([y])) in found or (bytes([y]), bytes([x])) in found
+    assert linked(1, 2) or linked(3, 4)
+    assert all(sorted((a[0], b[0])) in ([1, 2], [3, 4]) for a, b in found)
+
+
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), min_size=1, max_size=40))
 def test_components(spark, edges):
@@ -230,16 +269,46 @@ def test_mixed_documents_have_the_words_taken(docs, odd, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
 
 
-def test_apportion_is_sainte_lague(spark):
+@pytest.mark.parametrize("parent", [["p"], []])
+def test_apportion_is_sainte_lague(spark, parent):
     weights, seats = [53, 24, 23, 7, 0, 1], 31
     rows = [(0, n, float(w), seats) for n, w in enumerate(weights)]
-    got = {r.c: r["__tm_seats"] for r in mixing.apportion(spark.createDataFrame(rows, "p int, c int, w double, s long"), ["p"], "c", "w", "s").collect()}
+    got = {r.c: r["__tm_seats"] for r in mixing.apportion(spark.createDataFrame(rows, "p int, c int, w double, s long"), parent, "c", "w", "s").collect()}
     want = [0] * len(weights)
     for _ in range(seats):
         want[max(range(len(weights)), key=lambda n: weights[n] / (2 * want[n] + 1))] += 1
     assert [got[n] for n in range(len(weights))] == want
 
 
+def test_targets_equal_a_plain_water_level(spark):
+    """Weights in turn by code point, null last; shares of the excess go round until no target passes its limit."""
+    rnd = random.Random(8)
+    for _ in range(3):
+        sizes = {s: rnd.choice([1, 5, 40, 900]) * rnd.randrange(1, 9) for s in [None, *(chr(97 + n) * 2 for n in range(11)), "Z", "é"]}
+        rows = [(n, " ".join(["w"] * k), s) for n, (s, k) in enumerate(sizes.items())]
+        got = {r.source: r.target for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+        names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None]
+        weight = {s: (5, 2, 1)[n % 3] for n, s in enumerate(names)}
+        goal, open_, left = {}, set(names), 1.5 * sum(sizes.values())
+        while open_:
+            level = left / sum(weight[s] for s in open_)
+            over = {s for s in open_ if level * weight[s] > 2 * sizes[s]}
+            for s in over or set(open_):
+                goal[s] = 2.0 * sizes[s] if over else level * weight[s]
+            open_ -= over or set(open_)
+            left -= sum(goal[s] for s in over)
+        assert all(math.isclose(got[s], goal[s], rel_tol=1e-9) for s in names)
+
+
+def test_blocks_are_equal(docs):
+    """All blocks of a shard have as many words, but for its last one."""
+    by = collections.defaultdict(list)
+    for r in mixing.mix(docs).collect():
+        for p in r.pieces:
+            by[r.source].append(p["end"] - p["start"])
+    assert all(max(v) == mixing.BLOCK_WORDS for v in by.values())
+
+
 # --- secrets ---
 
 
@@ -252,6 +321,46 @@ def test_secret_scan(spark, odd, empty):
     assert secret_scan.scan(odd).count() == len(ODD) and secret_scan.scan(empty).count() == 0
 
 
+def plain_secrets(text):
+    """The base rules as they are worded, one kind after another."""
+    kinds = [
+        ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 8),
+        ("access", r"AKIA[A-Z0-9]+", 0, 16),
+        ("hex", r"[0-9a-f]+", 0, 32),
+    ]
+    found = [[(m.start(), n, m.end()) for m in re.finditer(p, text, re.ASCII) if len(m[g]) >= least] for n, (_, p, g, least) in enumerate(kinds)]
+    shown = ",".join(f"{kinds[n][0]}:{a}:{b}" for a, n, b in sorted(x for f in found for x in f))
+    return [len(f) for f in found], hashlib.sha256(shown.encode()).hexdigest()
+
+
+def test_secrets_equal_a_plain_scan(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    spans = 0
+    for r in secret_scan.scan(docs).collect():
+        counts, digest = plain_secrets(texts[r.doc_id])
+        assert ([r.n_assign, r.n_access, r.n_hex], r.base_sha256) == (counts, digest)
+        spans += sum(counts)
+    assert spans > 100
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["password", "Token", "api_key", "SECRET", '"', "'", ":", "=", " ", "a1b2c3d4", "xyz-12345678", "AKIA", "ABCDEFGHIJKL0123", "0123456789abcdef", "\n", "é"]), max_size=14).map("".join))
+def test_found_secrets_equal_plain_rules(text):
+    found = secret_scan.find(text)
+    assert [sum(n == k for _, n, _ in found) for k in range(3)] == plain_secrets(text)[0]
+    assert hashlib.sha256(secret_scan._shown([f for f in found if f[1] < 3]).encode()).hexdigest() == plain_secrets(text)[1]
+
+
+def test_a_blob_that_was_entered_twice_counts_once(spark, tmp_path):
+    """As two scans at once do."""
+    ledger = f"file://{tmp_path}/ledger"
+    df = spark.createDataFrame([(1, "password=abcd1234"), (2, "x")], "doc_id long, text string")
+    secret_scan.scan(df, ledger).collect()
+    spark.read.parquet(ledger).write.mode("append").parquet(ledger)
+    assert spark.read.parquet(ledger).count() == 4 and secret_scan.scan(df, ledger).count() == 2
+
+
 def test_ledger_scans_a_blob_once(spark, tmp_path):
     ledger = f"file://{tmp_path}/ledger"
     df = spark.createDataFrame([(1, "password=abcd1234"), (2, "password=abcd1234"), (3, "x")], "doc_id long, text string")
@@ -314,15 +423,30 @@ def test_nearest_with_a_hot_vector(spark):
 
 
 def test_nearest_widens_until_there_are_enough_rows(spark):
-    """Few rows a list and one list a query: others are visited until there are k rows; copies of the query's id don't count."""
+    """Few rows a list and one list a query: others are visited until there are k other rows."""
     x = np.random.default_rng(9).normal(size=(300, 8))
-    rows = [(n, v.tolist()) for n, v in enumerate(x)] + [(100, x[100].tolist())] * 70
+    rows = [(n, v.tolist()) for n, v in enumerate(x)] + [(7, x[100].tolist())] * 70
     got = collections.Counter(r.query_id for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=100, probes=1).collect())
     assert got == {0: 20, 100: 20, 200: 20}
-    few = spark.createDataFrame([(0, [1.0, 0.0])] * 50 + [(n, [1.0, 0.0]) for n in range(1, 6)] + [(9, [-1.0, 0.5])], "vec_id long, embedding array<double>")
+    few = spark.createDataFrame([(0, [1.0, 0.0])] + [(n, [1.0, 0.0]) for n in range(1, 6)] + [(9, [-1.0, 0.5])], "vec_id long, embedding array<double>")
     assert [r.vec_id for r in ann.nearest(few, probes=1).orderBy("rank").collect()] == [1, 2, 3, 4, 5, 9]
 
 
+def test_nearest_of_odd_rows(spark):
+    """By brute force: no id, repeated ids, huge and tiny values, and vectors of another length."""
+    rng = np.random.default_rng(4)
+    rows = [(n, (v * 10.0 ** rng.integers(-3, 3)).tolist()) for n, v in enumerate(rng.normal(size=(60, 4)))]
+    rows += [(None, [1.0, 2.0, 3.0, 4.0]), (20, [9.0, -9.0, 1.0, 0.5]), (20, [9.0, -9.0, 1.0, 0.5]), (40, [1e200, -1e200, 1e150, 0.0]), (41, [1e200, 1e200, 0.0, 1.0]), (42, [5e-324, 0.0, 0.0, 0.0]), (60, [1.0, 2.0]), (61, [0.0] * 4), (62, [math.inf, 0.0, 0.0, 0.0])]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect())
+    part = [(i, v) for i, v in rows if i is not None and len(v) == 4 and any(v) and all(map(math.isfinite, v))]
+    want = []
+    for n, (i, v) in enumerate(part):
+        if i % 20 == 0:
+            found = sorted((-ann.exact_scores(np.array([w]), np.array(v))[0], j) for m, (j, w) in enumerate(part) if m != n)
+            want += [(i, rank, j, -s) for rank, (s, j) in enumerate(found[:20], 1)]
+    assert got == sorted(want) and any(math.isinf(s) for *_, s in got)
+
+
 @pytest.mark.parametrize("centres", [0, 300])
 def test_nearest_recall_over_several_hundred_lists(spark, centres):
     """The lists that a query visits grow with the table where neighbours lie scattered."""
@@ -341,22 +465,77 @@ def test_language_id(docs, odd, empty):
     got = [r for r in langid.identify(docs).collect() if r.held_out]
     assert sum(truth[r.doc_id] == r.lang_pred for r in got) >= 0.9 * len(got)
     by = {r.doc_id: r for r in langid.identify(odd).collect()}
-    assert by[1].lang_pred == by[2].lang_pred == by[3].lang_pred == "und"
+    assert by[1].lang_pred == by[2].lang_pred == by[3].lang_pred == "und" and by[9].lang_pred == by[None].lang_pred == "en"
     assert langid.identify(empty).count() == 0
 
 
-def test_ppm_code_lengths_sum_over_parts():
-    model = langid.Ppm({"a": (langid._grams(np.frombuffer(b"hello there " * 20, np.uint8)), np.ones(240)), "b": (langid._grams(np.frombuffer(b"zzyzx " * 30, np.uint8)), np.ones(180))})
+def test_texts_without_letters_are_undetermined(spark, docs):
+    rows = [(10**6 + n, t, None, None, None) for n, t in enumerate(["²½ 123", "Ⅷ ①", "_ 9", "😀", "a", "漢", "ª"])]
+    got = {r.doc_id - 10**6: r for r in langid.identify(docs.union(spark.createDataFrame(rows, docs.schema))).filter("doc_id >= 1000000").collect()}
+    assert [got[n].lang_pred == "und" for n in range(7)] == [True] * 4 + [False] * 3
+    assert all(got[n].score == 0 for n in range(4))
+    none = langid.identify(docs.selectExpr("doc_id", "text", "cast(null as string) as lang"))
+    assert {(r.lang_pred, r.score) for r in none.collect()} == {("und", 0.0)}
+
+
+def plain_lengths(train, texts, least):
+    """PPM by plain recursion over counts of all contexts."""
+    grams = {lang: collections.Counter() for lang in train}
+    symbols = lambda t: [0] * langid.ORDER + [b + 1 for b in t]
+    for lang, known in train.items():
+        for s in map(symbols, known):
+            for i in range(langid.ORDER, len(s)):
+                grams[lang].update(tuple(s[i - k : i + 1]) for k in range(langid.ORDER + 1))
+
+    def chance(lang, context, symbol):
+        lower = lambda x: chance(lang, context[1:], x) if context else 1 / 256
+        seen = {g[-1]: n for g, n in grams[lang].items() if g[:-1] == context}
+        total = sum(seen.values())
+        if not total or context and total < least:
+            return lower(symbol)
+        if symbol in seen:
+            return seen[symbol] / (total + len(seen))
+        return len(seen) / (total + len(seen)) * lower(symbol) / max(1 - sum(map(lower, seen)), 1e-12)
+
+    return [[-sum(math.log2(chance(lang, tuple(s[i - langid.ORDER : i]), s[i])) for i in range(langid.ORDER, len(s))) for lang in sorted(train)] for s in map(symbols, texts)]
+
+
+def model_of(train, least=langid.LEAST):
+    counts = {}
+    for lang, texts in train.items():
+        seen, n = np.unique(np.concatenate([langid._grams(np.frombuffer(t, np.uint8)) for t in texts]), return_counts=True)
+        counts[lang] = (seen.astype(np.int64), n.astype(float))
+    return langid.Ppm(counts, least)
+
+
+PPM_TRAIN = {"a": [b"hello there my friend ", b"hello hello", b"\xc3\xa9t\xc3\xa9"], "b": [b"zzyzx road, zz top!", b"abc", b"hello"], "c": [b"q"]}
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.binary(max_size=12) | st.text("helo zyxabc", max_size=20).map(str.encode), min_size=1, max_size=3), st.sampled_from([1, 3]))
+def test_ppm_equals_plain_recursion(texts, least):
+    assert np.allclose(model_of(PPM_TRAIN, least).lengths(texts), np.reshape(plain_lengths(PPM_TRAIN, texts, least), (len(texts), 3)), rtol=1e-5)
+
+
+def test_ppm_lengths_add_up_over_parts_and_tables_have_a_bound(monkeypatch):
+    model = model_of(PPM_TRAIN)
     texts = [b"hello", b"", b"zzyzx " * 7, b"\xff\x00 new"]
     whole = model.lengths(texts)
-    langid_chunk, langid.CHUNK = langid.CHUNK, 7
-    try:
-        assert np.allclose(model.lengths(texts), whole, rtol=1e-5)
-    finally:
-        langid.CHUNK = langid_chunk
-    assert whole[0, 0] < whole[0, 1] and whole[2, 1] < whole[2, 0] and (whole[1] == 0).all()
-    # probabilities of all next bytes after a context sum to at most 1
-    assert (np.exp2(-model.bits).reshape(-1, model.size, 2)[:, :, 0].sum(axis=1) < 1.001 + 1 / 256).all()
+    monkeypatch.setattr(langid, "CHUNK", 7)
+    assert np.allclose(model.lengths(texts), whole, rtol=1e-5)
+    size = sum(t.size() for t in (*model.seen, *model.escapes))
+    monkeypatch.setattr(langid, "TABLE_BYTES", size - 1)
+    small = model_of(PPM_TRAIN)
+    assert sum(t.size() for t in (*small.seen, *small.escapes)) < size and np.isfinite(small.lengths(texts)).all()
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=300), st.lists(st.integers(0, 2**64 - 1), max_size=50))
+def test_lookup_finds_what_is_there(keys, others):
+    keys = sorted(keys)
+    table = langid.Lookup(np.array(keys, np.uint64), np.arange(len(keys))[:, None])
+    asked = [*keys, *others]
+    assert table.find(np.array(asked, np.uint64)).tolist() == [keys.index(k) if k in keys else -1 for k in asked]
 
 
 def distance(a, b):
@@ -416,14 +595,62 @@ def test_toxicity(docs, labels, odd, empty):
     assert toxicity.score(empty, labels).count() == 0 and toxicity.score(docs, labels.limit(0)).filter("predicted = 1").count() == 0
     wide = {r.doc_id: r for r in toxicity.score(docs.sparkSession.read.parquet("/root/testdata/sf0.1/documents.parquet"), docs.sparkSession.read.parquet("/root/testdata/sf0.1/labels.parquet")).filter("held_out").collect()}
     truth = {r.doc_id: r.toxic for r in docs.sparkSession.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
-    pairs = [(truth[i], r.predicted) for i, r in wide.items() if i in truth]
-    assert sum(a == b for a, b in pairs) >= 0.97 * len(pairs)
+    pairs = collections.Counter((truth[i], r.predicted) for i, r in wide.items() if i in truth)
+    assert pairs[1, 1] >= 0.9 * (pairs[1, 1] + pairs[1, 0]) and pairs[0, 0] >= 0.99 * (pairs[0, 0] + pairs[0, 1])
+
+
+def test_toxicity_weak_entries_need_two_hits():
+    lexicon = toxicity.Lexicon(["idiot"], [], weak=(["grumpy"], ["nastic"]))
+    hit = lambda t: [h[3] for h in lexicon.hits(t)]
+    assert hit("so grumpy") == [] and hit("so grumpi, grumpo, nastik") == []
+    assert hit("nastical and grumpy") == ["nastical", "grumpy"] and hit("grumpy idiot") == ["idiot"]
+    assert lexicon.score("grumpy nastics") >= 0.7 > lexicon.score("a grumpy man")
+
+
+def test_toxicity_automaton_has_a_bound(monkeypatch):
+    words = [f"{a}{b}ng{c}el" for a in "abcd" for b in "aeiou" for c in "lmnr"]
+    asked = [w[:k] + "x" + w[k:] for w in words for k in range(6)] + words
+    wide = toxicity.Lexicon(words, [])
+    want = [wide.edits(w) for w in asked]
+    monkeypatch.setattr(toxicity, "MEMORY_STATES", 30)
+    small = toxicity.Lexicon(words, [])
+    assert [small.edits(w) for w in asked] == want and len(small.sets) < 100
 
 
 def test_quality(spark, odd, empty):
     docs, truth = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
-    pairs = [(truth[r.doc_id], int(r.kept)) for r in quality.classify(docs).collect() if r.doc_id in truth]
-    assert sum(a == b for a, b in pairs) >= 0.93 * len(pairs)
+    pairs = collections.Counter((truth[r.doc_id], int(r.kept)) for r in quality.classify(docs).collect() if r.doc_id in truth)
+    assert pairs[0, 0] >= 0.95 * (pairs[0, 0] + pairs[0, 1]) and pairs[1, 1] >= 0.98 * (pairs[1, 0] + pairs[1, 1])
+    assert all(r.score == 0.5 and r.kept for r in quality.classify(docs.limit(5), rows=0).collect())
+
+
+def test_expectation_maximisation_finds_accuracies():
+    """Made votes: labellers that are right more often get higher ratios, and posteriors tell the classes apart."""
+    rng = np.random.default_rng(2)
+    good = rng.random(4000) < 0.8
+    fire = lambda on_bad, on_good: np.where(rng.random(4000) < np.where(good, on_good, on_bad), -1, 0)
+    praise = np.where(rng.random(4000) < np.where(good, 0.7, 0.4), 1, 0)
+    v = np.stack([fire(0.5, 0.0), fire(0.3, 0.002), fire(0.2, 0.0), praise], axis=1)
+    post, rates, share = quality.expectation_maximisation(v)
+    any_fault = (v < 0).any(axis=1)
+    assert ((post < 0.5) == any_fault).all() and abs(share - (1 - any_fault.mean())) < 0.05
+    assert rates[0, 0, 0] > rates[1, 0, 0] > rates[2, 0, 0] and (rates[:3, 1, 0] * quality.SURE <= rates[:3, 0, 0] + 1e-9).all()
+
+
+def plain_scores(weights, text):
+    _, own = quality.features(text)
+    return 1 / (1 + math.exp(-(weights[-1] + sum(weights[c] * x for c, x in own.items()))))
+
+
+def test_quality_scores_are_those_of_the_scorer(spark):
+    """Every row's score and votes by a plain loop, with a scorer fitted on the same rows."""
+    rows = [(n, t) for n, t in enumerate(["All is well here. We go on.", "word " * 40, "### $$$ %%%", "", None, "A quiet day, they said. It rained.", "ALL CAPS SHOUTED LOUD"] * 3)]
+    got = {r.doc_id: r for r in quality.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    weights = quality.fit_features([quality.features(t or "") for _, t in rows])
+    for n, t in rows:
+        v = quality.votes(quality.features(t or "")[0])
+        assert math.isclose(got[n].score, plain_scores(weights, t or ""), abs_tol=1e-6)
+        assert (got[n].votes_good, got[n].votes_bad, got[n].kept) == (v.count(1), v.count(-1), got[n].score >= 0.5)
     assert quality.classify(odd).count() == len(ODD) and quality.classify(empty).count() == 0
 
 

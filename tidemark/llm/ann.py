@@ -13,15 +13,19 @@ A list is split into blocks of about ``block`` rows, queries of a list too, and
 no list is ever gathered, however many rows are alike. Equal vectors count once in a shortlist and are expanded by
 smallest id afterwards.
 
-Measured recall at 20 against brute force is in the README. Defined results: vectors that are null, zero, of another
-length than the first, or hold null or non-finite components take no part; a query finds all other rows if there are
-fewer than asked for; ties go to the smaller id; rows that repeat an id are separate candidates.
+Measured recall at 20 against brute force is in the README. Defined results: rows whose id is null, or whose vector is
+null, zero, of another length than most (of equally many the shorter length), or holds null or non-finite components, take
+no part; a query finds all other rows if there are fewer than asked for; ties go to the smaller id. Rows that repeat an id
+are rows of their own: each asks for itself, and each is a candidate of all others. A score is the inner product in double
+precision, infinite where it passes that range; for the search alone, vectors are scaled by a power of two. Other columns,
+whatever their names, are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, prepare, sample_by_hash
+from tidemark.llm.common import cut, named, prepare, sample_by_hash
 
 SAMPLE, PARTS, CODES = 20_000, 16, 64
 PROBES, SHORT, NEAREST = 24, 120, 20
@@ -98,8 +102,8 @@ class Index:
 
 def _valid(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
     """(id, vector of doubles) of the rows that take part."""
-    v = F.col(vector).cast("array<double>")
-    rows = df.select(F.col(vec_id).cast("long").alias("__tm_id"), v.alias("__tm_vec"))
+    v = named(vector).cast("array<double>")
+    rows = df.select(named(vec_id).cast("long").alias("__tm_id"), v.alias("__tm_vec")).filter("__tm_id is not null")
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     return rows.filter(F.col("__tm_vec").isNotNull() & F.forall("__tm_vec", fine) & F.exists("__tm_vec", lambda x: x != 0))
 
@@ -120,10 +124,11 @@ def nearest(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k:
     if seen["lo"] != dim:
         dim = rows.groupBy(F.size("__tm_vec").alias("d")).count().orderBy(F.desc("count"), "d").first()["d"]
         rows = rows.filter(F.size("__tm_vec") == dim)
-    n = rows.count() if seen["lo"] != seen["hi"] else seen["n"]
+    top = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.array_max(F.transform("__tm_vec", F.abs))).alias("top")).first()
+    n, scale = top["n"], 2.0 ** -math.frexp(top["top"])[1]
     some = sample_by_hash(rows, F.col("__tm_id"), SAMPLE, n).select("__tm_vec").toArrow().column(0).combine_chunks()  # bounded
     lists = max(1, min(65_536, int(math.sqrt(n))))
-    index = spark.sparkContext.broadcast(Index(_matrix(some, dim), lists))
+    index = spark.sparkContext.broadcast(Index(_matrix(some, dim) * scale, lists))
     block = max(64, min(BLOCK, int(math.sqrt(n))))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,31 +136,30 @@ def nearest(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column(1), dim)
-            cells = own.cells(x)
-            codes = own.codes(x, cells)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(cells, pa.int32()), pa.array([r.tobytes() for r in codes], pa.binary())], ["__tm_id", "__tm_vec", "__tm_cell", "__tm_codes"])
+            x = _matrix(batch.column(2), dim)
+            cells = own.cells(x * scale)
+            codes = own.codes(x * scale, cells)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([r.tobytes() for r in x], pa.binary()), pa.array(cells, pa.int32()), pa.array([r.tobytes() for r in codes], pa.binary())], ["__tm_row", "__tm_id", "__tm_vec", "__tm_cell", "__tm_codes"])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Index = index.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            q = np.stack([np.frombuffer(b) for b in batch.column(1).to_pylist()])
-            at, to = own.probes(q, probes, sizes, k + batch.column(2).to_numpy())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(to, pa.int32()), pa.nulls(len(at), pa.binary())], ["__tm_id", "__tm_vec", "__tm_cell", "__tm_codes"])
-
-    schema = "__tm_id long, __tm_vec binary, __tm_cell int, __tm_codes binary"
-    indexed = cut(rows.mapInArrow(place, schema), "index")
+            q = np.stack([np.frombuffer(b) for b in batch.column(2).to_pylist()]) * scale
+            at, to = own.probes(q, probes, sizes, np.full(len(q), k + 1))
+            at = pa.array(at)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in range(3)], pa.array(to, pa.int32()), pa.nulls(len(at), pa.binary())], ["__tm_row", "__tm_id", "__tm_vec", "__tm_cell", "__tm_codes"])
+
+    schema = "__tm_row long, __tm_id long, __tm_vec binary, __tm_cell int, __tm_codes binary"
+    # a row's number holds from here on, as the table is written
+    indexed = cut(rows.select(F.monotonically_increasing_id().alias("__tm_row"), "__tm_id", "__tm_vec").mapInArrow(place, schema), "index")
     sizes = np.zeros(len(index.value.coarse), np.int64)
     for r in indexed.groupBy("__tm_cell").count().toLocalIterator():
         sizes[r[0]] = r[1]
-    queries = indexed.filter(F.col("__tm_id") % every == 0).select("__tm_id", "__tm_vec")
-    # rows that share a query's id are no neighbours of it; those that share its vector too ask once
-    own = queries.groupBy("__tm_id").agg(F.count(F.lit(1)).alias("__tm_own")).filter("__tm_own > 1")
-    queries = queries.dropDuplicates().join(own, "__tm_id", "left").select("__tm_id", "__tm_vec", F.coalesce("__tm_own", F.lit(1)).alias("__tm_own"))
+    queries = indexed.filter(F.col("__tm_id") % every == 0).select("__tm_row", "__tm_id", "__tm_vec")
     if np.count_nonzero(sizes) > probes:
-        probes = max(probes, _measure(indexed, queries.select("__tm_id", "__tm_vec"), index.value, sizes, k))
+        probes = max(probes, _measure(indexed, queries, index.value, sizes, k, scale))
     asked = cut(queries.mapInArrow(visit, schema), "visits")
     # how many blocks each list has of rows and of queries: one small row a list
     count = lambda d, c: d.groupBy("__tm_cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(c))
@@ -163,78 +167,73 @@ def nearest(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k:
     # at most 65,536 lists, so this table has a bound
     spread = lambda d, own, other, a, b: (
         d.join(F.broadcast(blocks), "__tm_cell")
-        .withColumn(a, F.pmod(F.xxhash64("__tm_id", F.lit(a)), F.col(own)).cast("int"))
+        .withColumn(a, F.pmod(F.xxhash64("__tm_row", F.lit(a)), F.col(own)).cast("int"))
         .withColumn(b, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
     )
     grid = ["__tm_cell", "__tm_v", "__tm_q"]
-    pairs = spread(indexed, "__tm_nv", "__tm_nq", "__tm_v", "__tm_q").select(*grid, "__tm_id", "__tm_vec", "__tm_codes")
-    pairs = pairs.unionByName(spread(asked, "__tm_nq", "__tm_nv", "__tm_q", "__tm_v").select(*grid, "__tm_id", "__tm_vec", "__tm_codes"))
+    pairs = spread(indexed, "__tm_nv", "__tm_nq", "__tm_v", "__tm_q").select(*grid, "__tm_row", "__tm_id", "__tm_vec", "__tm_codes")
+    pairs = pairs.unionByName(spread(asked, "__tm_nq", "__tm_nv", "__tm_q", "__tm_v").select(*grid, "__tm_row", "__tm_id", "__tm_vec", "__tm_codes"))
 
     def search(table: pa.Table) -> pa.Table:
         own: Index = index.value
         is_query = table.column("__tm_codes").is_null().combine_chunks()
         q, v = table.filter(is_query), table.filter(pc.invert(is_query))
-        qid, vid = q.column("__tm_id").to_numpy(), v.column("__tm_id").to_numpy()
+        row, vrow, vid = q.column("__tm_row").to_numpy(), v.column("__tm_row").to_numpy(), v.column("__tm_id").to_numpy()
         out: list[list[np.ndarray]] = [[], [], []]
-        if len(qid) and len(vid):
+        if len(row) and len(vid):
             raw = v.column("__tm_vec").to_pylist()
-            order = np.argsort(vid, kind="stable")
-            groups: dict[bytes, list[int]] = {}  # equal vectors: their rows by id
-            for n in order.tolist():
-                groups.setdefault(raw[n], []).append(n)
-            # k rows of an id at most, so any query finds k rows of other ids among the first 2 k
-            members = [g if len(g) <= k else [n for i, n in enumerate(g) if i < k or vid[n] != vid[g[i - k]]][: 2 * k] for g in groups.values()]
-            first = np.array([g[0] for g in members])
-            lowest, highest = vid[first], vid[[g[-1] for g in groups.values()]]
+            groups: dict[bytes, list[int]] = {}  # equal vectors: their rows by id, of which any query needs k + 1 at most
+            for n in np.lexsort((vrow, vid)).tolist():
+                g = groups.setdefault(raw[n], [])
+                if len(g) <= k:
+                    g.append(n)
+            members = list(groups.values())
             x = np.stack([np.frombuffer(b) for b in groups])
-            codes = np.stack([np.frombuffer(b, np.uint8) for b in v.column("__tm_codes").to_pylist()])[first]
+            codes = np.stack([np.frombuffer(b, np.uint8) for b in v.column("__tm_codes").to_pylist()])[[g[0] for g in members]]
             qs = np.stack([np.frombuffer(b) for b in q.column("__tm_vec").to_pylist()])
-            near = own.approximate(qs, table.column("__tm_cell")[0].as_py(), codes)
+            near = own.approximate(qs * scale, table.column("__tm_cell")[0].as_py(), codes)
             short = min(SHORT, len(members))
             top = np.argpartition(-near, short - 1, axis=1)[:, :short]
-            for i in range(len(qid)):
-                # rows that rounding can't bring among the k best need no exact sum
-                close = top[i][(lowest[top[i]] != qid[i]) | (highest[top[i]] != qid[i])]
-                rough = x[close] @ qs[i]
-                if len(close) > k:
-                    slack = dim * 1e-15 * float((np.abs(x[close]) @ np.abs(qs[i])).max())
-                    best = rough >= np.partition(rough, -k)[-k] - slack
-                    close = close[best]
+            for i in range(len(row)):
+                close, own_q = top[i], qs[i] * scale
+                part = x[close] * scale
+                # rows that rounding can't bring among the k + 1 best need no exact sum
+                if len(close) > k + 1:
+                    rough = part @ own_q
+                    slack = dim * 1e-15 * float((np.abs(part) @ np.abs(own_q)).max())
+                    close = close[rough >= np.partition(rough, -k - 1)[-k - 1] - slack]
                 exact = exact_scores(x[close], qs[i])
-                rows_ = [(m, s) for t, s in zip(close.tolist(), exact.tolist(), strict=True) for m in members[t]]
-                if not rows_:
-                    continue
-                at = np.array([m for m, _ in rows_])
-                ids, scores = vid[at], np.array([s for _, s in rows_])
-                # a row is not its own neighbour; of rows that repeat the id none is
-                other = ids != qid[i]
-                ids, scores = ids[other], scores[other]
-                best = np.lexsort((ids, -scores))[:k]
-                out[0].append(np.full(len(best), qid[i]))
-                out[1].append(ids[best])
+                at = np.array([m for t in close.tolist() for m in members[t]])
+                scores = np.repeat(exact, [len(members[t]) for t in close.tolist()])
+                other = vrow[at] != row[i]
+                at, scores = at[other], scores[other]
+                best = np.lexsort((vid[at], -scores))[:k]
+                out[0].append(np.full(len(best), i))
+                out[1].append(vid[at[best]])
                 out[2].append(scores[best])
         cat = [np.concatenate(o) if o else np.zeros(0) for o in out]
-        return pa.table({"query_id": pa.array(cat[0].astype(np.int64)), "vec_id": pa.array(cat[1].astype(np.int64)), "score": pa.array(cat[2].astype(np.float64))})
+        at = pa.array(cat[0].astype(np.int64))
+        return pa.table({"row": pa.array(row).take(at), "query_id": q.column("__tm_id").combine_chunks().take(at), "vec_id": pa.array(cat[1].astype(np.int64)), "score": pa.array(cat[2].astype(np.float64))})
 
-    found = pairs.groupBy(*grid).applyInArrow(search, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = pairs.groupBy(*grid).applyInArrow(search, "row long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _measure(indexed: DataFrame, queries: DataFrame, index: Index, sizes: np.ndarray, k: int) -> int:
+def _measure(indexed: DataFrame, queries: DataFrame, index: Index, sizes: np.ndarray, k: int, scale: float) -> int:
     """Lists to visit, from the lists in which the true neighbours of ``MEASURED`` queries lie: all rows are scored for these."""
-    some = queries.orderBy(F.xxhash64("__tm_id", F.lit("measure"))).limit(MEASURED).toArrow()
+    some = queries.orderBy(F.xxhash64("__tm_id", F.lit("measure")), "__tm_row").limit(MEASURED).toArrow()
     if not some.num_rows:
         return 1
-    qid, q = some.column(0).to_numpy(), np.stack([np.frombuffer(b) for b in some.column(1).to_pylist()])
+    row, q = some.column(0).to_numpy(), np.stack([np.frombuffer(b) for b in some.column(2).to_pylist()]) * scale
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score, cell = np.full((len(q), k), -np.inf), np.zeros((len(q), k), np.int32)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.stack([np.frombuffer(b) for b in batch.column(1).to_pylist()])
-            new = np.where(qid[:, None] == batch.column(0).to_numpy(zero_copy_only=False)[None, :], -np.inf, q @ x.T)
+            x = np.stack([np.frombuffer(b) for b in batch.column(1).to_pylist()]) * scale
+            new = np.where(row[:, None] == batch.column(0).to_numpy(zero_copy_only=False)[None, :], -np.inf, q @ x.T)
             score = np.concatenate([score, new], axis=1)
             cell = np.concatenate([cell, np.broadcast_to(batch.column(2).to_numpy(), new.shape)], axis=1)
             top = np.argpartition(-score, k - 1, axis=1)[:, :k]
@@ -242,12 +241,24 @@ def _measure(indexed: DataFrame, queries: DataFrame, index: Index, sizes: np.nda
         at, place = np.nonzero(np.isfinite(score))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(cell[at, place], pa.int32()), pa.array(score[at, place])], ["q", "cell", "score"])
 
-    found = indexed.select("__tm_id", "__tm_vec", "__tm_cell").mapInArrow(best, "q int, cell int, score double")
+    found = indexed.select("__tm_row", "__tm_vec", "__tm_cell").mapInArrow(best, "q int, cell int, score double")
     order = Window.partitionBy("q").orderBy(F.desc("score"))
     true = found.withColumn("no", F.row_number().over(order)).filter(F.col("no") <= k).select("q", "cell").toArrow()  # at most k a query
     return index.needed(q, true.column(0).to_numpy(), true.column(1).to_numpy(), sizes, HELD)
 
 
 def exact_scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, each summed in the same order whatever rows stand beside it."""
-    return np.array([math.fsum(p) for p in (x * q).tolist()])
+    """Inner products in double precision, each summed exactly before it is rounded, whatever rows stand beside it."""
+    with np.errstate(over="ignore"):
+        products = (x * q).tolist()
+    out = []
+    for p, row in zip(products, x, strict=True):
+        try:
+            out.append(math.fsum(p))
+        except (OverflowError, ValueError):  # a product or a sum passes the range: the exact sum, if it can be told
+            whole = sum((Fraction(a) * Fraction(b) for a, b in zip(row.tolist(), q.tolist(), strict=True)), Fraction(0))
+            try:
+                out.append(float(whole))
+            except OverflowError:
+                out.append(math.inf if whole > 0 else -math.inf)
+    return np.array(out)

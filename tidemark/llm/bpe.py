@@ -9,8 +9,11 @@ Words end with a symbol of their own (its character and the end-of-word mark), s
 inside a word and ends that are not. Texts are cut into words as the vocabulary file says: added tokens first, then
 NFC and lower case, then the words of its pattern; white space is dropped.
 
+Decoding takes ids alone: their names, joined by a space.
+
 Defined results: a null text counts as empty; an empty text has no ids and decodes to the empty text; texts of any
-length are encoded whole; an empty table gives an empty table.
+length are encoded whole; repeated rows each get their row; other columns, whatever their names, are not read; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import prepare, worker_memory
+from tidemark.llm.common import named, prepare, worker_memory
 
 NEVER = 1 << 60
 #: Texts within these characters need no look at the table of unassigned ones.
@@ -76,6 +79,8 @@ class WordBpe:
         self.rank = {pair: n for n, pair in enumerate(pairs)}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {n: k for k, n in [*self.vocab.items(), *self.added.items()]}
+        #: By id; the file's ids have no gaps to speak of.
+        self.shown = [self.names.get(n, "") for n in range(max(self.names) + 1)]
         self.added_pattern = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
         self.letters = byte_letters()
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -96,9 +101,8 @@ class WordBpe:
         self.spines: dict[str, tuple[list[tuple[str, int]], list[tuple[str, int]]] | None] = {}
         self._library = path
         self.ids: dict[str, bytes] = {}
-        self.shown: dict[str, str] = {}
         #: The same of the generation before: words that are met again move on.
-        self.before: tuple[dict[str, bytes], dict[str, str]] = ({}, {})
+        self.before: dict[str, bytes] = {}
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Plain BPE of a few symbols: the pair of lowest rank first, from the left."""
@@ -173,7 +177,7 @@ class WordBpe:
             self.trie, self.nodes = ({}, -1, ()), 0
         if len(self.firm) > 2 * MEMORY_NODES:
             self.firm.clear()
-        firm, root, ids, shown, names = self.firm, self.entries, self.ids, self.shown, self.names
+        firm, root, ids, names = self.firm, self.entries, self.ids, self.names
         for word in sorted(words):
             path = word if word.isascii() and word.isprintable() else "".join(map(self.letters.__getitem__, word.encode("utf-8")))
             node, lasts = self.trie, [-1]
@@ -205,7 +209,7 @@ class WordBpe:
                     if fits:
                         break
             if not start:
-                ids[word], shown[word] = token.to_bytes(4, "little"), names[token]
+                ids[word] = token.to_bytes(4, "little")
                 continue
             tokens = [token]
             while start:
@@ -214,7 +218,6 @@ class WordBpe:
                 start -= len(names[token])
             tokens.reverse()
             ids[word] = array("I", tokens).tobytes()
-            shown[word] = " ".join([names[t] for t in tokens])
 
     def cut(self, text: str) -> list[str]:
         """Words of a text without added tokens."""
@@ -235,8 +238,8 @@ class WordBpe:
         words = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(text))
         return [bytes(map(self.bytes_of.__getitem__, w)).decode("utf-8") for w, _ in words]
 
-    def encode_batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """(ids as little-endian 32-bit integers, decoded text) of each text."""
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Ids, as little-endian 32-bit integers, of each text."""
         parts = []
         for text in texts:
             if self.added_pattern and "<|" in text:
@@ -246,28 +249,17 @@ class WordBpe:
                 parts.append(self.cut(text))
         plain = [p if not p or isinstance(p[0], str) else [w for w, special in p if not special] for p in parts]
         if len(self.ids) > MEMORY_WORDS:
-            self.before, self.ids, self.shown = (self.ids, self.shown), {}, {}
+            self.before, self.ids = self.ids, {}
         unknown = {w for p in plain for w in p}.difference(self.ids)
-        old_ids, old_shown = self.before
-        for w in unknown.intersection(old_ids):
-            self.ids[w], self.shown[w] = old_ids[w], old_shown[w]
+        for w in unknown.intersection(self.before):
+            self.ids[w] = self.before[w]
         self.learn(unknown.difference(self.ids))
-        out = []
-        for p in parts:
-            if not p or isinstance(p[0], str):
-                out.append((b"".join(map(self.ids.__getitem__, p)), " ".join(map(self.shown.__getitem__, p))))
-            else:
-                out.append(
-                    (
-                        b"".join(struct.pack("<I", self.added[w]) if special else self.ids[w] for w, special in p),
-                        " ".join(w if special else self.shown[w] for w, special in p),
-                    )
-                )
-        return out
+        ids = self.ids
+        return [b"".join(map(ids.__getitem__, p)) if not p or isinstance(p[0], str) else b"".join(struct.pack("<I", self.added[w]) if special else ids[w] for w, special in p) for p in parts]
 
     def decode(self, ids: bytes) -> str:
         """Names of the tokens, joined by a space: the file has no decoder of its own."""
-        return " ".join(self.names[n] for (n,) in struct.iter_unpack("<I", ids))
+        return " ".join(map(self.shown.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 @lru_cache(maxsize=4)
@@ -287,7 +279,7 @@ def _slices(texts: list[str]) -> Iterator[list[str]]:
         yield texts[lo:]
 
 
-def _over(path: str, fill: Callable[[list[tuple[bytes, str]]], list[pa.Array]], names: list[str]):
+def _over(path: str, fill: Callable[[WordBpe, list[bytes]], list[pa.Array]], names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with worker_memory("bpe", load.cache_clear):  # millions of small objects, none of them in cycles
             bpe = load(path)
@@ -296,37 +288,53 @@ def _over(path: str, fill: Callable[[list[tuple[bytes, str]]], list[pa.Array]],
                 for texts in _slices([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]):
                     kept = batch.slice(at, len(texts)).columns[:-1]
                     at += len(texts)
-                    yield pa.RecordBatch.from_arrays([*kept, *fill(bpe.encode_batch(texts))], [*batch.schema.names[:-1], *names])
+                    yield pa.RecordBatch.from_arrays([*kept, *fill(bpe, bpe.encode_batch(texts))], [*batch.schema.names[:-1], *names])
 
     return run
 
 
-def _ids_column(rows: list[tuple[bytes, str]]) -> pa.ListArray:
+def _ids_column(rows: list[bytes]) -> pa.ListArray:
     """The ids as a list column over their bytes, without an object for each."""
-    ends = np.cumsum([0, *(len(ids) // 4 for ids, _ in rows)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids for ids, _ in rows), "<i4")))
+    ends = np.cumsum([0, *(len(ids) // 4 for ids in rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), "<i4")))
 
 
 def encode(df: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """Per row: id, token_ids (array of int), n_tokens, decoded (text)."""
+    """Per row: id, token_ids (array of int), n_tokens, decoded (the text that ``decode`` makes of the ids)."""
     prepare(df)
 
-    def fill(rows: list[tuple[bytes, str]]) -> list[pa.Array]:
-        return [_ids_column(rows), pa.array([len(ids) // 4 for ids, _ in rows], pa.int64()), pa.array([shown for _, shown in rows], pa.string())]
+    def fill(bpe: WordBpe, rows: list[bytes]) -> list[pa.Array]:
+        return [_ids_column(rows), pa.array([len(ids) // 4 for ids in rows], pa.int64()), pa.array(map(bpe.decode, rows), pa.string())]
 
     kind = df.schema[doc_id].dataType.simpleString()
     run = _over(vocabulary or default_vocabulary(), fill, ["token_ids", "n_tokens", "decoded"])
-    return df.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {kind}, token_ids array<int>, n_tokens long, decoded string")
+    return df.select(named(doc_id), named(text)).mapInArrow(run, f"`{doc_id}` {kind}, token_ids array<int>, n_tokens long, decoded string")
+
+
+def decode(df: DataFrame, doc_id: str = "doc_id", ids: str = "token_ids", vocabulary: str | None = None) -> DataFrame:
+    """Per row: id, decoded. Null ids decode to the empty text; an id that the vocabulary lacks raises."""
+    prepare(df)
+    path = vocabulary or default_vocabulary()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with worker_memory("bpe", load.cache_clear):
+            bpe = load(path)
+            for batch in batches:
+                texts = [bpe.decode(np.array(row, "<u4").tobytes()) if row else "" for row in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [batch.schema.names[0], "decoded"])
+
+    kind = df.schema[doc_id].dataType.simpleString()
+    return df.select(named(doc_id), named(ids)).mapInArrow(run, f"`{doc_id}` {kind}, decoded string")
 
 
 def encode_digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """Per row: id, n_tokens, ids_sha256, decoded_sha256. The decoded text is that of the ids."""
+    """Per row: id, n_tokens, ids_sha256, decoded_sha256; the last of the text that ``decode`` makes of the ids."""
     prepare(df)
 
-    def fill(rows: list[tuple[bytes, str]]) -> list[pa.Array]:
-        digests = ([hashlib.sha256(ids).hexdigest() for ids, _ in rows], [hashlib.sha256(shown.encode("utf-8")).hexdigest() for _, shown in rows])
-        return [pa.array([len(ids) // 4 for ids, _ in rows], pa.int64()), *[pa.array(d, pa.string()) for d in digests]]
+    def fill(bpe: WordBpe, rows: list[bytes]) -> list[pa.Array]:
+        digests = ([hashlib.sha256(ids).hexdigest() for ids in rows], [hashlib.sha256(bpe.decode(ids).encode("utf-8")).hexdigest() for ids in rows])
+        return [pa.array([len(ids) // 4 for ids in rows], pa.int64()), *[pa.array(d, pa.string()) for d in digests]]
 
     kind = df.schema[doc_id].dataType.simpleString()
     run = _over(vocabulary or default_vocabulary(), fill, ["n_tokens", "ids_sha256", "decoded_sha256"])
-    return df.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select(named(doc_id), named(text)).mapInArrow(run, f"`{doc_id}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -31,10 +31,28 @@ def prepare(df: DataFrame) -> SparkSession:
     return spark
 
 
+def named(name: str) -> Column:
+    """The column of exactly that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(df: DataFrame, **work: Column) -> DataFrame:
+    """Whole rows as one column ``__tm_row``, so that no name of theirs meets those of the work columns beside it."""
+    return df.select(F.struct(*map(named, df.columns)).alias("__tm_row"), *[c.alias(k) for k, c in work.items()])
+
+
+def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of ``packed`` rows."""
+    return df.select(*[F.col("__tm_row").getField(c).alias(c) for c in columns])
+
+
 def shared_root(spark: SparkSession) -> str:
-    """Folder of this application below ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """Folder of this application below ``spark.checkpoint.dir``. Where that is unset, as in tests, a local session gets a
+    folder of its own; on a cluster executors would each write to their own disk, so there it must be set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", base)
     root = f"{base.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}"
@@ -48,12 +66,21 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    table = spark.read.schema(df.schema).parquet(at)
+    table._tm_path = at  # for drop()
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of ``cut`` that nothing reads any more."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._tm_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fold(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 3; null ids are in fold 0."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3, F.lit(0))
+    return F.coalesce(F.crc32(named(doc_id).cast("string").cast("binary")) % 3, F.lit(0))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -6,8 +6,8 @@ task. All other digests, each at most a ``counters``-th part of a partition's ro
 
 Defined results: a null text counts as empty; equal means the same characters (SHA-256, with length and a second
 64-bit hash verified for frequent digests); the row with the largest id stays, ids that are null come last; of
-rows that repeat both id and text exactly one stays; an empty table gives an empty table. Columns of the input are
-never renamed; work columns begin with ``__tm_``.
+rows that repeat both id and text exactly one stays; an empty table gives an empty table. Columns of the input keep
+their names, whatever they are.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, prepare
+from tidemark.llm.common import cut, drop, named, packed, prepare, unpacked
 
 #: Counters of a Misra-Gries summary, and the most winners that are broadcast.
 COUNTERS = 512
@@ -45,14 +45,14 @@ def _summaries(counters: int):
 
 
 def _text(text: str) -> Column:
-    return F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return F.coalesce(named(text).cast("string"), F.lit(""))
 
 
 def digests(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(id, digest, second check) of every row, as a table in the shared folder."""
     t = _text(text)
     rows = df.select(
-        F.col(doc_id).alias("__tm_id"),
+        named(doc_id).alias("__tm_id"),
         F.unhex(F.sha2(t, 256)).alias("__tm_sha"),
         F.struct(F.xxhash64(t).alias("h"), F.octet_length(t).alias("n")).alias("__tm_check"),
     )
@@ -115,9 +115,10 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", coun
 def exact_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", counters: int = COUNTERS) -> DataFrame:
     """The rows of ``df`` that stay, with their columns unchanged."""
     prepare(df)
-    winners = frequent(digests(df, doc_id, text), counters).withColumnRenamed("__tm_sha", "__tm_win")
-    marked = df.withColumn("__tm_sha", F.unhex(F.sha2(_text(text), 256)))
-    marked = marked.join(F.broadcast(winners), F.col("__tm_sha") == F.col("__tm_win"), "left")
-    left = marked.filter(F.col("__tm_win").isNull() | F.col(doc_id).eqNullSafe(F.col("__tm_keep")))
-    order = Window.partitionBy("__tm_sha").orderBy(F.col(doc_id).desc_nulls_last())
-    return left.withColumn("__tm_no", F.row_number().over(order)).filter("__tm_no = 1").select(*[df[c] for c in df.columns])
+    rows = digests(df, doc_id, text)
+    winners = frequent(rows, counters)
+    drop(rows)
+    marked = packed(df, __tm_id=named(doc_id), __tm_sha=F.unhex(F.sha2(_text(text), 256))).join(F.broadcast(winners), "__tm_sha", "left")
+    left = marked.filter(F.col("__tm_size").isNull() | F.col("__tm_id").eqNullSafe(F.col("__tm_keep")))
+    order = Window.partitionBy("__tm_sha").orderBy(F.col("__tm_id").desc_nulls_last())
+    return unpacked(left.withColumn("__tm_no", F.row_number().over(order)).filter("__tm_no = 1"), df.columns)

@@ -3,159 +3,211 @@
 For each language a tree of byte contexts of up to ``ORDER`` bytes gives each next byte a probability: seen bytes
 by their counts, unseen ones through an escape to the shorter context (method C, with exclusion). The statistics
 are frozen after training, so the code length of a byte depends on nothing but the bytes before it: it is a table
-entry, and a text's exact code length in every language is a sum of entries over the whole text.
+entry, or an escape and an entry of a shorter context, and a text's exact code length in every language is a sum of
+entries over the whole text.
 
 Training counts the (ORDER + 1)-grams of a bounded sample: about ``SAMPLE_DOCS`` documents a language, those whose
-id hashes lowest. Contexts seen fewer than ``LEAST`` times fall back to shorter ones.
+id hashes lowest. Contexts seen fewer than ``LEAST`` times fall back to shorter ones; that limit is doubled until the
+tables, which hold seen grams and contexts alone, take at most ``TABLE_BYTES``, so what is broadcast has a bound.
 
-Defined results: a text that is null or has no letter is ``und`` with score 0; without training rows every text is;
-rows with a null language are never learned from; repeated rows each count; an empty table gives an empty table.
-The language with the shortest code wins, of equal ones the first in code point order; the score is its share of
-2 ** -(bits a byte times ``SHARP``).
+Defined results: a text that is null or has no letter (Unicode category L) is ``und`` with score 0; without training
+rows every text is; rows with a null language are never learned from; repeated rows each count; other columns, whatever
+their names, are not read; an empty table gives an empty table. The language with the shortest code wins, of equal ones
+the first in code point order; the score is its share of 2 ** -(bits a byte times ``SHARP``).
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, prepare, sample_by_hash
+from tidemark.llm.common import held_out, named, prepare
 
 ORDER = 3
 SAMPLE_DOCS = 1000
-LEAST = 3
+LEAST, TABLE_BYTES = 3, 64 << 20
 SHARP = 24.0
-CHUNK = 1 << 20
-LETTER = re.compile(r"[^\W\d_]")
+CHUNK = 1 << 18
+LETTER = regex.compile(r"\p{L}")
+#: Symbols: 0 stands for the start of a text, others for bytes.
+BASE = 257
+
+
+def _codes(text: np.ndarray) -> np.ndarray:
+    """Symbols of a text that follows ORDER starts."""
+    return np.concatenate([np.zeros(ORDER, np.uint64), text.astype(np.uint64) + np.uint64(1)])
 
 
 def _grams(text: np.ndarray) -> np.ndarray:
-    """Codes of all (ORDER + 1)-grams of a text that follows ORDER zero bytes: 0 stands for its start."""
-    padded = np.concatenate([np.zeros(ORDER, np.int64), text.astype(np.int64) + 1])
-    code = np.zeros(len(text), np.int64)
+    """All (ORDER + 1)-grams of a text, as numbers."""
+    padded = _codes(text)
+    code = np.zeros(len(text), np.uint64)
     for n in range(ORDER + 1):
-        code = code * 257 + padded[n : n + len(text)]
+        code = code * np.uint64(BASE) + padded[n : n + len(text)]
     return code
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[str, dict[int, int]] = {}
+    """Counts of grams by language, handed on before they grow: the aggregation that follows adds them up."""
     for batch in batches:
         by: dict[str, list[np.ndarray]] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             by.setdefault(lang, []).append(_grams(np.frombuffer((text or "").encode("utf-8"), np.uint8)))
         for lang, codes in by.items():
-            seen = total.setdefault(lang, {})
-            for code, n in zip(*(x.tolist() for x in np.unique(np.concatenate(codes), return_counts=True)), strict=True):
-                seen[code] = seen.get(code, 0) + n
-    for lang, seen in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["lang", "gram", "n"])
+            seen, n = np.unique(np.concatenate(codes), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(seen), np.int64))), pa.array(seen.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+
+
+class Lookup:
+    """Rows of floats by number: a hash table with open addressing, all numbers of a query at once."""
+
+    def __init__(self, keys: np.ndarray, rows: np.ndarray) -> None:
+        self.keys, self.rows = keys, np.ascontiguousarray(rows, np.float32)
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        left = np.arange(len(keys))
+        at = self._first(keys)
+        while len(left):
+            free = self.slots[at] < 0
+            _, one = np.unique(at[free], return_index=True)
+            won = np.flatnonzero(free)[one]
+            self.slots[at[won]] = left[won]
+            stays = np.ones(len(left), bool)
+            stays[won] = False
+            left, at = left[stays], (at[stays] + 1) & (len(self.slots) - 1)
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Row of each number, -1 where there is none."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int32)
+        at = self._first(keys)
+        row = self.slots[at]
+        open_ = np.flatnonzero((row >= 0) & (self.keys[row] != keys))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (len(self.slots) - 1)
+            row[open_] = self.slots[at[open_]]
+            now = row[open_]
+            open_ = open_[(now >= 0) & (self.keys[now] != keys[open_])]
+        return row
+
+    def size(self) -> int:
+        return self.keys.nbytes + self.rows.nbytes + self.slots.nbytes
 
 
 class Ppm:
-    """Frozen code lengths: ``place`` gives the longest known context of three bytes, ``bits`` its costs by language."""
+    """Frozen code lengths. ``seen[k]``: bits of the last symbol of a (k + 1)-gram that any language has seen, by language;
+    ``escapes[k]``: bits that are added where a context of k symbols is known and the symbol after it was not seen."""
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], least: int = LEAST) -> None:
         self.langs = sorted(counts)
-        used = np.unique(np.concatenate([np.concatenate([g // 257**k % 257 for k in range(ORDER + 1)]) for g, _ in counts.values()] or [np.zeros(1, np.int64)]))
-        used = used[used > 0]
-        self.size = a = len(used) + 2  # 0: start of text; the last: bytes never seen
-        self.code = np.full(257, a - 1, np.int64)
-        self.code[0] = 0
-        self.code[used] = np.arange(1, len(used) + 1)
-        tables = [[self._by_context(*c, k) for c in (counts[x] for x in self.langs)] for k in range(ORDER + 1)]
-        base = np.full((len(self.langs), 1, a), 1.0 / 256)  # below the empty context all bytes are alike
-        rows, places = [], None
-        for k, langs in enumerate(tables):
-            seen = np.unique(np.concatenate([np.zeros(int(k == 0), np.int64), *[ctx[tot >= LEAST] for ctx, tot, _ in langs]]))
-            parent = np.zeros(len(seen), np.int64) if k == 0 else places[seen % a ** (k - 1)]
-            start = sum(map(len, rows))
-            probs = np.stack([self._mix(seen, ctx, n, base[i, parent]) for i, (ctx, _, n) in enumerate(langs)]) if len(langs) else np.zeros((0, len(seen), a))
-            rows.append(probs.transpose(1, 2, 0))
-            fall = np.zeros(1, np.int64) if k == 0 else places[np.arange(a**k) % a ** (k - 1)]
-            fall = fall.copy()
-            fall[seen] = start + np.arange(len(seen))
-            places, base = fall, np.concatenate([base, probs], axis=1) if k else probs
-        self.place = places.astype(np.int32)
-        self.bits = (-np.log2(np.concatenate(rows))).astype(np.float32).reshape(-1, len(self.langs)) if self.langs else np.zeros((0, 0), np.float32)
-
-    def _by_context(self, gram: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, dict]:
-        """Contexts of k bytes, how often each was seen, and their counts by next byte."""
-        parts = [self.code[gram // 257**j % 257] for j in range(k + 1)]  # from the last byte back
-        code = np.zeros(len(gram), np.int64)
-        for p in parts[::-1]:
-            code = code * self.size + p
-        code, at = np.unique(code, return_inverse=True)
-        n = np.bincount(at, n, len(code)) if len(code) else np.zeros(0)
-        ctx = code // self.size
-        known, where = np.unique(ctx, return_inverse=True)
-        return known, np.bincount(where, n, len(known)) if len(known) else np.zeros(0), {"ctx": ctx, "sym": code % self.size, "n": n}
-
-    def _mix(self, seen: np.ndarray, known: np.ndarray, rows: dict, below: np.ndarray) -> np.ndarray:
-        """P(byte | context) for the contexts of ``seen``: counts, and an escape spread over bytes not seen here."""
-        c = np.zeros((len(seen), self.size))
-        at = np.minimum(np.searchsorted(seen, rows["ctx"]), max(len(seen) - 1, 0))
-        ok = seen[at] == rows["ctx"] if len(seen) else np.zeros(len(at), bool)
-        c[at[ok], rows["sym"][ok]] = rows["n"][ok]
-        total, kinds = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
-        rest = np.where(c > 0, 0.0, below)
-        left = np.maximum(rest.sum(1, keepdims=True), 1e-12)
-        out = (c + kinds * rest / left) / np.maximum(total + kinds, 1)
-        return np.where(total > 0, out, below)
+        while True:
+            self._tables(counts, least)
+            if sum(t.size() for t in (*self.seen, *self.escapes)) <= TABLE_BYTES:
+                break
+            least *= 2
+
+    def _tables(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], least: int) -> None:
+        base, lowest = np.uint64(BASE), np.log2(256.0)  # below the empty context all bytes are alike
+        self.seen, self.escapes = [], []
+        for k in range(ORDER + 1):
+            own = []
+            for lang in self.langs:
+                gram, at = np.unique(counts[lang][0].astype(np.uint64) % np.uint64(BASE ** (k + 1)), return_inverse=True)
+                n = np.bincount(at, counts[lang][1], len(gram)) if len(gram) else np.zeros(0)
+                context, where = np.unique(gram // base, return_inverse=True)
+                total, kinds = (np.bincount(where, x, len(context)) if len(context) else np.zeros(0) for x in (n, None))
+                known = total >= (least if k else 0)
+                keep = known[where] if len(where) else np.zeros(0, bool)
+                own.append((gram[keep], n[keep], where[keep], context, total, kinds, known))
+            grams = np.unique(np.concatenate([np.zeros(0, np.uint64), *[o[0] for o in own]]))
+            contexts = np.unique(np.concatenate([np.zeros(0, np.uint64), *[o[3][o[6]] for o in own]]))
+            # what a shorter context says of the same symbols, in every language
+            below = np.full((len(grams), len(self.langs)), lowest)
+            if k:
+                short = self._resolved(grams % np.uint64(BASE**k), k - 1)
+                below = short.astype(np.float64)
+            bits, escape = below.copy(), np.zeros((len(contexts), len(self.langs)))
+            for j, (gram, n, where, context, total, kinds, known) in enumerate(own):
+                at = np.searchsorted(grams, gram)
+                # mass of the shorter context that is left for symbols not seen here
+                left = np.maximum(1 - np.bincount(where, np.exp2(-below[at, j]), len(context)) if len(context) else np.zeros(0), 1e-12)
+                cost = -np.log2(np.maximum(kinds / np.maximum(total + kinds, 1) / left, 1e-300))
+                escape[np.searchsorted(contexts, context[known]), j] = cost[known]
+                of = np.minimum(np.searchsorted(contexts, grams // base), max(len(contexts) - 1, 0))
+                if len(contexts):
+                    bits[:, j] += np.where(contexts[of] == grams // base, escape[of, j], 0.0)
+                bits[at, j] = -np.log2(n / (total + kinds)[where])
+            self.seen.append(Lookup(grams, bits))
+            self.escapes.append(Lookup(contexts, escape))
+
+    def _resolved(self, grams: np.ndarray, k: int) -> np.ndarray:
+        """(grams, languages): bits of the last symbol of (k + 1)-grams, by the longest contexts that know it."""
+        out = np.zeros((len(grams), len(self.langs)), np.float32)
+        todo = np.arange(len(grams))
+        for j in range(k, -1, -1):
+            row = self.seen[j].find(grams)
+            hit = row >= 0
+            out[todo[hit]] += self.seen[j].rows[row[hit]]
+            todo, grams = todo[~hit], grams[~hit]
+            if not len(todo):
+                return out
+            row = self.escapes[j].find(grams // np.uint64(BASE))
+            hit = row >= 0
+            out[todo[hit]] += self.escapes[j].rows[row[hit]]
+            grams = grams % np.uint64(BASE ** max(j, 1)) if j else grams
+        out[todo] += np.float32(np.log2(256.0))
+        return out
 
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text in each language."""
-        a, out = self.size, np.zeros((len(texts), len(self.langs)))
-        pad = b"\0" * ORDER
+        out = np.zeros((len(texts), len(self.langs)))
         start = 0
         while start < len(texts):
             end, held = start, 0
             while end < len(texts) and (end == start or held + len(texts[end]) <= CHUNK):
                 held += len(texts[end]) + ORDER
                 end += 1
+            pad = b"\0" * ORDER
             sizes = np.array([len(t) for t in texts[start:end]])
-            flat = np.frombuffer(b"".join(pad + t for t in texts[start:end]), np.uint8)
+            flat = np.frombuffer(b"".join(pad + t for t in texts[start:end]), np.uint8).astype(np.uint64) + np.uint64(1)
             first = np.concatenate([[0], np.cumsum(sizes + ORDER)])[:-1]
-            code = self.code[flat.astype(np.int64) + 1]
             for n in range(ORDER):
-                code[first + n] = 0
-            for lo in range(0, len(code), CHUNK):  # a very long text goes in parts; sums add up
-                c = code[max(0, lo - ORDER) : lo + CHUNK]
+                flat[first + n] = 0
+            for lo in range(0, len(flat), CHUNK):  # a very long text goes in parts; sums add up
+                c = flat[max(0, lo - ORDER) : lo + CHUNK]
                 if len(c) <= ORDER:
                     continue
-                ctx = c[: len(c) - ORDER].copy()
-                for n in range(1, ORDER):
-                    ctx = ctx * a + c[n : len(c) - ORDER + n]
-                cost = self.bits[self.place[ctx].astype(np.int64) * a + c[ORDER:]]
-                at = max(0, lo - ORDER) + ORDER + np.arange(len(cost))
+                gram = np.zeros(len(c) - ORDER, np.uint64)
+                for n in range(ORDER + 1):
+                    gram = gram * np.uint64(BASE) + c[n : len(c) - ORDER + n]
+                at = max(0, lo - ORDER) + ORDER + np.arange(len(gram))
                 doc = np.searchsorted(first, at, "right") - 1
-                cost[at - first[doc] < ORDER] = 0
+                real = at - first[doc] >= ORDER
+                cost = self._resolved(gram[real], ORDER)
                 for j in range(len(self.langs)):
-                    out[start:end, j] += np.bincount(doc, cost[:, j], end - start)
+                    out[start:end, j] += np.bincount(doc[real], cost[:, j], end - start)
             start = end
         return out
 
 
 def train(df: DataFrame, doc_id: str, text: str, lang: str, train_rows: Column, docs: int = SAMPLE_DOCS) -> Ppm:
-    """Model of a bounded sample of the rows for which ``train_rows`` holds."""
-    rows = df.filter(train_rows & F.col(lang).isNotNull())
-    known = {r[0]: r[1] for r in rows.groupBy(F.col(lang)).count().collect()}  # as many as there are languages
-    part = None
-    for name, count in sorted(known.items()):
-        own = sample_by_hash(rows.filter(F.col(lang) == name), F.col(doc_id), docs, count)
-        part = own if part is None else part.unionByName(own)
-    counts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    if part is not None:
-        grams = part.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).mapInArrow(_count, "lang string, gram long, n long")
-        table = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()  # bounded by the sample
-        for name, own in table.groupby("lang"):
-            counts[name] = (own["gram"].to_numpy(np.int64), own["n"].to_numpy(np.float64))
-    return Ppm(counts)
+    """Model of a bounded sample of the rows for which ``train_rows`` holds: one pass counts the languages' rows, a second
+    one takes from each language its share."""
+    rows = df.filter(train_rows & named(lang).isNotNull()).select(named(lang).cast("string").alias("lang"), named(doc_id).alias("__tm_id"), named(text).cast("string").alias("text"))
+    rate = rows.groupBy("lang").agg((F.lit(float(docs)) / F.count(F.lit(1))).alias("__tm_rate"))  # a row a language
+    place = F.pmod(F.xxhash64("__tm_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    some = rows.join(rate, "lang").filter(place < F.col("__tm_rate"))
+    grams = some.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
+    table = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()  # bounded by the sample
+    return Ppm({name: (own["gram"].to_numpy(np.int64), own["n"].to_numpy(np.float64)) for name, own in table.groupby("lang")})
 
 
 def _predict(shared):
@@ -184,5 +236,5 @@ def identify(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: st
     model = train(df, doc_id, text, lang, ~held_out(doc_id), docs)
     shared = spark.sparkContext.broadcast(model)
     kind = df.schema[doc_id].dataType.simpleString()
-    rows = df.select(F.col(doc_id), held_out(doc_id).alias("held_out"), F.col(text).cast("string"))
+    rows = df.select(named(doc_id), held_out(doc_id).alias("held_out"), named(text).cast("string"))
     return rows.mapInArrow(_predict(shared), f"`{doc_id}` {kind}, held_out boolean, lang_pred string, score double")

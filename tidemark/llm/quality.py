@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, prepare, sample_by_hash
+from tidemark.llm.common import WORD, named, prepare, sample_by_hash
 
 SAMPLE_ROWS = 6000
 BUCKETS = 1 << 12
 ROUNDS, STEPS = 60, 800
-GOOD = 0.5
+GOOD, SURE = 0.5, 40.0
 MEMORY_WORDS = 300_000
 _RUNS = (("A", re.compile(r"[A-Z]+")), ("0", re.compile(r"[0-9]+")), ("a", re.compile(r"[^\W\d_A0]+")))
 STATS = ("mean word", "letters", "capitals", "repeats", "distinct", "top word", "marks in words", "marks", "digits", "lines", "repeated lines", "sentence ends")
@@ -103,24 +103,22 @@ def votes(stats: list[float]) -> list[int]:
 def expectation_maximisation(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """(P(good) of each row, P(vote | class) of each labeller, share of good rows).
 
-    A labeller has, for either class, rates of the votes bad, none, good. It starts with any fault as a sign of a bad
-    row, and bounds keep it from taking one kind of fault for the class: good rows get a fault vote at most once in a
-    hundred, bad ones at least about once in 25, and good votes say little about bad rows."""
-    start = np.array([[0.35, 0.5, 0.15], [0.02, 0.38, 0.6]])
-    rates = np.tile(start, (v.shape[1], 1, 1))
+    A labeller has, for either class, rates of the votes bad, none, good. Votes that were cast are evidence; having no
+    opinion is none, for a row has one fault or another, seldom many. Rows with any fault start as bad, and bounds keep
+    EM from taking one kind of fault for the class: a fault vote is at least ``SURE`` times as likely on bad rows as on
+    good ones, a good vote at most twice as likely on good rows as on bad ones."""
     share, one = 0.8, np.stack([v == k for k in (-1, 0, 1)], axis=2).astype(float)
     post = np.where((v < 0).any(axis=1), 0.1, 0.95)
+    rates = np.zeros((v.shape[1], 2, 3))
     for n in range(ROUNDS):
         if n:
-            log = np.einsum("nlv,lcv->nc", one, np.log(rates)) + np.log([1 - share, share])
-            post = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -500, 500)))
+            odds = np.log(share / (1 - share)) + (one[:, :, (0, 2)] * np.log(rates[:, 1] / rates[:, 0])[None, :, (0, 2)]).sum(axis=(1, 2))
+            post = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
         share = float(np.clip(post.mean(), 0.02, 0.98))
         for c, weight in enumerate((1 - post, post)):
-            prior = 0.002 * len(v) * start[c] + 1e-3
-            rates[:, c] = (np.einsum("n,nlv->lv", weight, one) + prior) / (weight.sum() + prior.sum())
-        rates[:, 0] = np.maximum(rates[:, 0], [0.05, 0.05, 0.5])
-        rates[:, 1, 0] = np.minimum(rates[:, 1, 0], 0.01)
-        rates /= rates.sum(axis=2, keepdims=True)
+            rates[:, c] = (np.einsum("n,nlv->lv", weight, one) + 1) / (weight.sum() + 3)
+        rates[:, 1, 0] = np.minimum(rates[:, 1, 0], rates[:, 0, 0] / SURE)
+        rates[:, 0, 2] = np.maximum(rates[:, 0, 2], rates[:, 1, 2] / 2)
     return post, rates, share
 
 
@@ -147,7 +145,7 @@ def fit_features(rows: list[tuple[list[float], dict[int, float]]]) -> np.ndarray
 def classify(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
     """Per row: id, score (0 to 1, higher is better), kept (score of at least 0.5), votes_good, votes_bad."""
     spark = prepare(df)
-    some = sample_by_hash(df.select(F.col(doc_id), F.col(text).cast("string").alias("t")), F.col(doc_id), rows, df.count())
+    some = sample_by_hash(df.select(named(doc_id), named(text).cast("string").alias("t")), named(doc_id), rows, df.count())
 
     def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,4 +170,4 @@ def classify(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: in
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([s >= GOOD for s in scores], pa.bool_()), pa.array(good, pa.int32()), pa.array(bad, pa.int32())], [doc_id, "score", "kept", "votes_good", "votes_bad"])
 
     kind = df.schema[doc_id].dataType.simpleString()
-    return df.select(F.col(doc_id), F.col(text).cast("string")).mapInArrow(run, f"`{doc_id}` {kind}, score double, kept boolean, votes_good int, votes_bad int")
+    return df.select(named(doc_id), named(text).cast("string")).mapInArrow(run, f"`{doc_id}` {kind}, score double, kept boolean, votes_good int, votes_bad int")

@@ -2,17 +2,20 @@
 
 Every version of a text is a blob named by its SHA-256. A ledger in the shared folder lists which rule versions
 have seen which blob, and what they found. A scan takes the blobs of a table, drops the (blob, rule version) pairs
-that the ledger has, scans the rest once each, adds them to the ledger, and joins the findings back to all rows.
+that the ledger has, scans the rest once each, adds them to the ledger, and joins the findings back to all rows. An
+entry is one commit of a table, so a scan that fails adds nothing; of entries that two scans at once have made for one
+blob, one is read.
 
 Copies are first dropped inside each partition, so a text that fills a third of the table arrives at the scan once
-per partition, not once per row.
+per ``REMEMBERED`` rows of a partition at most, not once per row; there copies lie side by side, and one is scanned.
 
 Rules: ``assign``, ``access``, ``hex`` (see RULES); ``pem`` and ``jwt`` are the method's own additions. A rule finds
 leftmost non-overlapping matches; those that are too short are dropped after matching. Spans are code points, end
 exclusive.
 
 Defined results: a null text counts as empty and has no findings; repeated rows each get their row; texts of any
-length are scanned whole; an empty table gives an empty table and adds nothing to the ledger.
+length are scanned whole; other columns, whatever their names, are not read; an empty table gives an empty table and
+adds nothing to the ledger.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, prepare, shared_root
+from tidemark.llm.common import cut, named, prepare, shared_root
 
 RULE_VERSION = "2"
 #: Kind, pattern, group whose length counts, least length. The first three are the base.
@@ -57,10 +60,16 @@ def _shown(found: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{RULES[n][0]}:{start}:{end}" for start, n, end in found)
 
 
+#: Digests that a task remembers to drop copies before texts are dealt out.
+REMEMBERED = 100_000
+
+
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose digest this partition has not had before; 32 bytes a row are remembered."""
+    """Rows whose digest is none of the last ones of this partition."""
     seen: set[bytes] = set()
     for batch in batches:
+        if len(seen) > REMEMBERED:
+            seen.clear()
         keep = []
         for digest in batch.column(0).to_pylist():
             keep.append(digest not in seen)
@@ -69,13 +78,14 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[bytes] = set()
+    """Findings of blobs that come sorted: copies follow one another."""
+    last = None
     for batch in batches:
         rows = []
         for blob, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if blob in seen:
+            if blob == last:
                 continue
-            seen.add(blob)
+            last = blob
             found = find(text)
             base = [x for x in found if x[1] < BASE]
             n = [sum(x[1] == k for x in found) for k in range(BASE)]
@@ -97,18 +107,24 @@ def read_ledger(spark: SparkSession, ledger: str) -> DataFrame | None:
     return spark.read.schema(LEDGER_SCHEMA).parquet(ledger)
 
 
+def seen_blobs(spark: SparkSession, ledger: str) -> DataFrame | None:
+    """The ledger's entries under this rule version, one for each blob; None if there is no ledger yet."""
+    known = read_ledger(spark, ledger)
+    return None if known is None else known.filter(F.col("rule_version") == RULE_VERSION).drop("rule_version").dropDuplicates(["blob"])
+
+
 def update_ledger(df: DataFrame, ledger: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Scan what the ledger at ``ledger`` has not seen under this rule version and append it; (id, blob) of every row."""
+    """Scan what the ledger at ``ledger`` has not seen under this rule version and append it; (__tm_id, blob) of every row."""
     spark = prepare(df)
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    t = F.coalesce(named(text).cast("string"), F.lit(""))
     blobs = df.select(F.unhex(F.sha2(t, 256)).alias("blob"), t.alias("text"))
-    paths = cut(df.select(F.col(doc_id), F.unhex(F.sha2(t, 256)).alias("blob")), "paths")
+    paths = cut(df.select(named(doc_id).alias("__tm_id"), F.unhex(F.sha2(t, 256)).alias("blob")), "paths")
     # unseen texts meet by digest: each is scanned once
     todo = blobs.mapInArrow(_distinct, "blob binary, text string")
-    known = read_ledger(spark, ledger)
+    known = seen_blobs(spark, ledger)
     if known is not None:
-        todo = todo.join(known.filter(F.col("rule_version") == RULE_VERSION).select("blob"), "blob", "left_anti")
-    todo.repartition(F.col("blob")).mapInArrow(_scan, LEDGER_SCHEMA).write.mode("append").parquet(ledger)
+        todo = todo.join(known.select("blob"), "blob", "left_anti")
+    todo.repartition(F.col("blob")).sortWithinPartitions("blob").mapInArrow(_scan, LEDGER_SCHEMA).write.mode("append").parquet(ledger)
     return paths
 
 
@@ -117,5 +133,5 @@ def scan(df: DataFrame, ledger: str | None = None, doc_id: str = "doc_id", text:
     spark = prepare(df)
     ledger = ledger or f"{shared_root(spark)}/ledger-{uuid.uuid4().hex}"
     paths = update_ledger(df, ledger, doc_id, text)
-    found = read_ledger(spark, ledger).filter(F.col("rule_version") == RULE_VERSION).drop("rule_version")
-    return paths.join(found, "blob").select(doc_id, F.lower(F.hex("blob")).alias("blob"), "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    found = paths.join(seen_blobs(spark, ledger), "blob")
+    return found.select(F.col("__tm_id").alias(doc_id), F.lower(F.hex("blob")).alias("blob"), "n_assign", "n_access", "n_hex", "base_sha256", "spans")

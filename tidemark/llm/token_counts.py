@@ -19,7 +19,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import WORD, prepare, worker_memory
+from tidemark.llm.common import WORD, named, prepare, worker_memory
 
 MARK = "▁"
 MEMORY_WORDS = 250_000
@@ -108,4 +108,4 @@ def count_tokens(df: DataFrame, doc_id: str = "doc_id", text: str = "text", voca
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], [doc_id, "n_tokens", "n_pretokens"])
 
     kind = df.schema[doc_id].dataType.simpleString()
-    return df.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {kind}, n_tokens long, n_pretokens long")
+    return df.select(named(doc_id), named(text)).mapInArrow(run, f"`{doc_id}` {kind}, n_tokens long, n_pretokens long")

@@ -2,10 +2,12 @@
 
 Learning, on a bounded sample of labelled rows (about ``SAMPLE_ROWS``, those whose id hashes lowest):
 1. Words, and beginnings of words, that occur almost only in toxic documents become the lexicon. An entry is
-   either a whole word, or a stem with which words begin.
+   either a whole word, or a stem with which words begin. Entries that clean documents use too, but almost only toxic
+   ones twice, are weak: one hit of theirs says nothing, two are hits.
 2. The lexicon is a trie; the Levenshtein automaton of a word, intersected with it, finds all entries within one or
-   two edits, stems within as many of some beginning of the word. The sets of (trie node, edits) that arise are the states of one automaton over letters, which is
-   determined lazily, so a word is read letter by letter and most words end after two or three.
+   two edits, stems within as many of some beginning of the word; weak entries allow none. The sets of (trie node, edits)
+   that arise are the states of one automaton over letters, which is determined lazily, so a word is read letter by letter
+   and most words end after two or three. It begins anew after ``MEMORY_STATES`` states.
 3. A window of ``WINDOW`` characters about each hit tells quotation (quote marks around it, or a word of reporting)
    from abuse. How often a document is toxic is counted for its strongest kind of hit: exact or misspelt, plain or
    quoted. Misspelt forms that clean documents of the sample use are not hits, and a stem has no edits if its near
@@ -14,9 +16,10 @@ Learning, on a bounded sample of labelled rows (about ``SAMPLE_ROWS``, those who
 The score is 1 - (1 - p) ** (1 + ln(hits)), with p the smoothed rate of the strongest kind, and the smoothed rate of
 hitless documents if there is no hit. The whole text is read.
 
-Defined results: null and empty texts score as hitless ones; without labelled rows every document has the prior
-rate 0.5 / (1 + ...) of no evidence, below the threshold; of several labels for an id the highest counts; repeated
-rows each get their row; an empty table gives an empty table.
+Defined results: null and empty texts score as hitless ones; without labelled rows there is no lexicon, and every
+document scores ``NO_HIT``; labels that are null or neither 0 nor 1 do not count, of several for an id the highest does;
+repeated rows each get their row; other columns, whatever their names, are kept or not read; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, fold, held_out, prepare, sample_by_hash, worker_memory
+from tidemark.llm.common import cut, fold, held_out, named, prepare, sample_by_hash, worker_memory
 
 SAMPLE_ROWS = 8000
 THRESHOLD = 0.7
@@ -40,7 +43,7 @@ STEM, LONGEST, MOST_ENTRIES = 4, 16, 2000
 #: Least share of toxic documents of those with an entry, least share of toxic documents that have it, and in how many
 #: surroundings it must occur: copies of one document are no evidence that its words are toxic.
 PURE, SUPPORT, VARIED, EVIDENCE = 0.9, 0.02, 8, 16
-MEMORY_WORDS = 250_000
+MEMORY_WORDS, MEMORY_STATES = 250_000, 100_000
 #: Features that a task counts before it hands its counts on; the sums are made by the aggregation that follows.
 MEMORY_FEATURES = 100_000
 TOKEN = re.compile(r"[\w@$]+")
@@ -61,14 +64,17 @@ def edits_for(length: int) -> int:
 class Lexicon:
     """Trie of entries and the lazily determined automaton over it."""
 
-    def __init__(self, words: Iterable[str], stems: Iterable[str], exempt: Iterable[str] = (), rates: tuple[float, ...] = PRIORS, no_hit: float = NO_HIT, strict: Iterable[str] = ()) -> None:
+    def __init__(self, words: Iterable[str], stems: Iterable[str], exempt: Iterable[str] = (), rates: tuple[float, ...] = PRIORS, no_hit: float = NO_HIT, strict: Iterable[str] = (), weak: tuple[Iterable[str], Iterable[str]] = ((), ())) -> None:
         self.words, self.stems, self.exempt = sorted(set(words)), sorted(set(stems)), frozenset(exempt)
         self.rates, self.no_hit = rates, no_hit
-        self.strict = sorted(set(strict))  # stems without edits
+        self.strict = sorted(set(strict))  # entries without edits
+        #: Words and stems of which a text needs two.
+        self.weak = tuple(tuple(sorted(set(w))) for w in weak)
+        self.light = Lexicon(*self.weak, strict=[*self.weak[0], *self.weak[1]]) if any(self.weak) else None
         self.prepare()
 
     def __reduce__(self):
-        return Lexicon, (self.words, self.stems, self.exempt, self.rates, self.no_hit, self.strict)
+        return Lexicon, (self.words, self.stems, self.exempt, self.rates, self.no_hit, self.strict, self.weak)
 
     def prepare(self) -> None:
         self.children: list[dict[str, int]] = [{}]
@@ -77,7 +83,7 @@ class Lexicon:
         self.allow: list[int] = [0]  # most edits of any entry through the node
         for entries, is_stem in ((self.words, False), (self.stems, True)):
             for entry in entries:
-                at, k = 0, 0 if is_stem and entry in self.strict else edits_for(len(entry))
+                at, k = 0, 0 if entry in self.strict else edits_for(len(entry))
                 self.allow[0] = max(self.allow[0], k)
                 for letter in entry:
                     if letter not in self.children[at]:
@@ -90,6 +96,11 @@ class Lexicon:
                     self.begun[at] = k
                 else:
                     self.whole[at] = k
+        self.memory: dict[str, int] = {}
+        self.begin()
+
+    def begin(self) -> None:
+        """An automaton of no more than its first states."""
         self.steps: list[dict[str, int]] = []
         self.ends: list[int] = []
         self.numbers: dict[frozenset, int] = {}
@@ -98,7 +109,6 @@ class Lexicon:
         self._state(frozenset())
         self._state(frozenset([(-1, 0)]))
         self.start = self._state(self._closed({0: 0}))
-        self.memory: dict[str, int] = {}
 
     def _closed(self, low: dict[int, int], read: int = 99) -> frozenset:
         """With the letters of the entry that are skipped (deletions) at one edit each; ``read``: least edits to a stem so far."""
@@ -142,6 +152,8 @@ class Lexicon:
 
     def edits(self, word: str) -> int:
         """Least edits to an entry within its allowance; -1 if there is none."""
+        if len(self.sets) > MEMORY_STATES:
+            self.begin()
         state, steps = self.start, self.steps
         for letter in word:
             to = steps[state].get(letter)
@@ -153,7 +165,7 @@ class Lexicon:
         return self.ends[state]
 
     def look(self, word: str) -> int:
-        """As edits(), reading disguised letters too; a disguise is an edit."""
+        """As edits(), reading disguised letters too; a disguise is an edit. -2: an entry of the weak ones."""
         known = self.memory.get(word)
         if known is None:
             if len(self.memory) > MEMORY_WORDS:
@@ -162,6 +174,8 @@ class Lexicon:
             if known and (plain := word.translate(DISGUISE)) != word and any(c.isalpha() for c in word):
                 n = self.edits(plain)
                 known = max(1, n) if n >= 0 else known
+            if known == -1 and self.light and self.light.edits(word) == 0:
+                known = -2
             self.memory[word] = known
         return known
 
@@ -169,16 +183,18 @@ class Lexicon:
         """(start, end, kind, form) of every hit in a text."""
         low = text.lower()
         look = self.look
-        if not any(look(w) >= 0 for w in set(TOKEN.findall(low))):
+        found = {w: n for w in set(TOKEN.findall(low)) if (n := look(w)) != -1}
+        if not found:
             return []
         out = []
         for m in TOKEN.finditer(low):
-            n = look(m[0])
-            if n >= 0:
+            n = found.get(m[0])
+            if n is not None:
                 before, after = low[max(0, m.start() - WINDOW) : m.start()], low[m.end() : m.end() + WINDOW]
                 quoted = (before.rstrip()[-1:] or " ") in QUOTES and (after.lstrip(" .,!?")[:1] or " ") in QUOTES or bool(REPORTING.search(before))
-                out.append((m.start(), m.end(), 2 * quoted + (n > 0), m[0]))
-        return out
+                out.append((m.start(), m.end(), n, 2 * quoted + (n > 0), m[0]))
+        weak = sum(n == -2 for _, _, n, _, _ in out) >= 2
+        return [(a, b, kind, form) for a, b, n, kind, form in out if weak or n != -2]
 
     def score(self, text: str) -> float:
         return self.score_of(self.hits(text))
@@ -191,13 +207,13 @@ class Lexicon:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents by label in which a word, or a beginning of a word, occurs (a whole word ends with a blank), and a
-    sketch of the words before it in toxic ones: a bit for each of 63 hash values. A document adds the surroundings of
-    its first occurrence alone, so that copies of a document that repeats a word do not look varied."""
-    count: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
+    """Documents by label in which a word, or a beginning of a word, occurs (a whole word ends with a blank), and in which
+    it occurs twice, and a sketch of the words before it in toxic ones: a bit for each of 63 hash values. A document adds
+    the surroundings of its first occurrence alone, so that copies of a document that repeats a word do not look varied."""
+    count: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0, 0])
 
     def counted() -> pa.RecordBatch:
-        rows = pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), *[pa.array([own[k] for own in count.values()], pa.int64()) for k in range(3)]], ["f", "clean", "toxic", "around"])
+        rows = pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), *[pa.array([own[k] for own in count.values()], pa.int64()) for k in range(5)]], ["f", "clean", "toxic", "clean2", "toxic2", "around"])
         count.clear()
         return rows
 
@@ -205,20 +221,26 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = TOKEN.findall((text or "").lower())
+                times = Counter(words)
                 before: dict[str, int] = {}
                 for one, two in zip(["", *words], words, strict=False):
                     if two not in before:
                         before[two] = 1 << zlib.crc32(one.encode()) % 63
                 seen: dict[str, int] = {}
+                often: dict[str, int] = {}
                 for w, bits in before.items():
                     if len(w) >= STEM:
                         for f in (w + " ", *(w[:k] for k in range(STEM, min(len(w), LONGEST) + 1))):
-                            seen.setdefault(f, bits)
+                            if f in seen:
+                                often[f] += times[w]
+                            else:
+                                seen[f], often[f] = bits, times[w]
                 for f, bits in seen.items():
                     own = count[f]
                     own[toxic] += 1
+                    own[2 + toxic] += often[f] > 1
                     if toxic:
-                        own[2] |= bits
+                        own[4] |= bits
                 if len(count) > MEMORY_FEATURES:
                     yield counted()
         yield counted()
@@ -251,10 +273,10 @@ def choose(features: dict[str, tuple[int, int]]) -> tuple[list[str], list[str]]:
 
 def sample(df: DataFrame, labels: DataFrame, doc_id: str, text: str, rows: int) -> DataFrame:
     """(id, toxic, text) of about ``rows`` labelled rows that aren't held out, as a table."""
-    own = labels.select(F.col(doc_id).alias("__tm_id"), F.col("toxic").cast("int").alias("__tm_toxic"))
+    own = labels.select(named(doc_id).alias("__tm_id"), F.col("toxic").cast("int").alias("__tm_toxic"))
     own = own.filter((fold("__tm_id") != 1) & F.col("__tm_toxic").isin(0, 1)).groupBy("__tm_id").agg(F.max("__tm_toxic").alias("__tm_toxic"))
     own = cut(sample_by_hash(own, F.col("__tm_id"), rows, own.count()), "labels")
-    texts = df.select(F.col(doc_id).alias("__tm_id"), F.col(text).cast("string").alias("__tm_text"))
+    texts = df.select(named(doc_id).alias("__tm_id"), named(text).cast("string").alias("__tm_text"))
     return cut(texts.join(F.broadcast(own), "__tm_id").select("__tm_toxic", "__tm_text"), "sample")  # at most about ``rows`` labels
 
 
@@ -264,13 +286,16 @@ def learn(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     # a small sample asks for as many documents as a large one, as far as it has them: chance and copies make a few
     least = max(4, SUPPORT * n.get(1, 0), min(EVIDENCE, n.get(1, 0) / 8))
     # how often a document with the feature is toxic, against how often one is
-    counts = some.mapInArrow(_features, "f string, clean long, toxic long, around long").groupBy("f")
-    counts = counts.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.bit_count(F.bit_or("around")).alias("around"))
+    counts = some.mapInArrow(_features, "f string, clean long, toxic long, clean2 long, toxic2 long, around long").groupBy("f")
+    counts = counts.agg(*[F.sum(c).alias(c) for c in ("clean", "toxic", "clean2", "toxic2")], F.bit_count(F.bit_or("around")).alias("around"))
     varied = F.col("around") >= min(VARIED, int(least) - 1)
-    pure = counts.filter((F.col("toxic") >= least) & varied & (F.col("toxic") >= PURE * (F.col("toxic") + F.col("clean"))))
-    pure = pure.orderBy(F.desc("toxic"), F.length("f"), "f").limit(MOST_ENTRIES)
-    words, stems = choose({r[0]: (r[1], r[2]) for r in pure.collect()})
-    return calibrate(Lexicon(words, stems), some, n)
+    pure = lambda toxic, clean: (F.col(toxic) >= least) & (F.col(toxic) >= PURE * (F.col(toxic) + F.col(clean)))
+    rows_ = counts.filter(varied & (pure("toxic", "clean") | pure("toxic2", "clean2"))).withColumn("strong", pure("toxic", "clean"))
+    rows_ = rows_.orderBy(F.desc("strong"), F.desc("toxic"), F.length("f"), "f").limit(MOST_ENTRIES).collect()
+    words, stems = choose({r["f"]: (r["clean"], r["toxic"]) for r in rows_ if r["strong"]})
+    weak = choose({r["f"]: (r["clean2"], r["toxic2"]) for r in rows_})
+    known = lambda f: any(f.startswith(t) for t in (*words, *stems))
+    return calibrate(Lexicon(words, stems, weak=([f for f in weak[0] if not known(f)], [f for f in weak[1] if not known(f)])), some, n)
 
 
 def calibrate(lexicon: Lexicon, some: DataFrame, n: dict[int, int]) -> Lexicon:
@@ -305,13 +330,13 @@ def calibrate(lexicon: Lexicon, some: DataFrame, n: dict[int, int]) -> Lexicon:
         if t + PRIOR * PRIORS[1] < THRESHOLD * (c + t + PRIOR):
             strict.append(stem)
     if strict:
-        return calibrate(Lexicon(lexicon.words, lexicon.stems, strict=[*lexicon.strict, *strict]), some, n)
+        return calibrate(Lexicon(lexicon.words, lexicon.stems, strict=[*lexicon.strict, *strict], weak=lexicon.weak), some, n)
     # a form is exempt if documents with it are about as seldom toxic as others
     exempt = [name for (what, name), (clean, toxic) in by.items() if what == "f" and clean > toxic]
     rate = lambda k, kind: (by["k", str(kind)][1] + PRIOR * PRIORS[k]) / (sum(by["k", str(kind)]) + PRIOR)
     rates = (rate(0, 0), PRIORS[1], rate(2, 2), PRIORS[3])
     clean, toxic = by["k", "-1"]
-    return Lexicon(lexicon.words, lexicon.stems, exempt, rates, (toxic + PRIOR * NO_HIT) / (clean + toxic + PRIOR), lexicon.strict)
+    return Lexicon(lexicon.words, lexicon.stems, exempt, rates, (toxic + PRIOR * NO_HIT) / (clean + toxic + PRIOR), lexicon.strict, lexicon.weak)
 
 
 _here: dict[str, Lexicon] = {}
@@ -320,7 +345,7 @@ _here: dict[str, Lexicon] = {}
 def _held(shared) -> Lexicon:
     """The worker's own copy, with what it has learned of words so far."""
     lexicon = shared.value
-    key = repr((lexicon.words, lexicon.stems, sorted(lexicon.exempt), lexicon.rates, lexicon.no_hit, lexicon.strict))
+    key = repr((lexicon.words, lexicon.stems, sorted(lexicon.exempt), lexicon.rates, lexicon.no_hit, lexicon.strict, lexicon.weak))
     if key not in _here:
         _here.clear()
         _here[key] = lexicon
@@ -353,7 +378,7 @@ def score(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                 )
 
     kind = df.schema[doc_id].dataType.simpleString()
-    return df.select(F.col(doc_id), held_out(doc_id).alias("held_out"), F.col(text).cast("string")).mapInArrow(
+    return df.select(named(doc_id), held_out(doc_id).alias("held_out"), named(text).cast("string")).mapInArrow(
         run, f"`{doc_id}` {kind}, held_out boolean, score double, predicted int, hits array<struct<start:int,end:int,kind:string,form:string>>"
     )
 
@@ -370,4 +395,5 @@ def keep_clean(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
             for batch in batches:
                 yield batch.filter(pa.array([lexicon.score(t or "") < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    plain = df.toDF(*[f"c{n}" for n in range(len(df.columns))])  # names may hold any characters
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
