@@ -8,8 +8,8 @@ from hypothesis import strategies as st
 from tidemark.__main__ import main
 from tidemark.functions import codec, config as C
 from tidemark.operators import sizes, windows
-from tidemark.sources import csv, files
-from tidemark.sources.series import SCHEMA
+from tidemark.sources import csv, files, synthetic
+from tidemark.sources.series import SCHEMA, read_raw, series, split_points
 from tidemark.streaming.compressor import compress_stream
 
 RNG = np.random.default_rng(5)
@@ -76,3 +76,72 @@ def test_stream_codes_full_blocks(spark, tmp_path):
     q.awaitTermination()
     back = windows.decompress(spark.read.parquet(str(tmp_path / "out"))).orderBy("idx").toPandas()
     assert back["idx"].tolist() == list(range(200)) and np.abs(back["value"] - y[:200]).max() < C.BOUND
+
+
+def test_raw_files_are_read_in_parts(spark, tmp_path):
+    y = RNG.normal(size=1000)
+    (tmp_path / "a.bin").write_bytes(y.astype("<f8").tobytes() + b"odd")
+    (tmp_path / "b.bin").write_bytes(b"tiny")
+    (tmp_path / "c.bin").write_bytes(y[:1].astype("<f8").tobytes())
+    df = read_raw(spark, str(tmp_path), part_bytes=807)
+    assert df.rdd.getNumPartitions() == 11
+    got = {}
+    for r in df.orderBy("series_id", "idx").collect():
+        got.setdefault(r.series_id[-5:], []).append(r.value)
+    assert got == {"a.bin": y.tolist(), "c.bin": y[:1].tolist()}
+    assert [r.length for r in files.list_files(spark, str(tmp_path)).collect()] == [8003, 4, 8]
+
+
+def test_numbering_in_parts_is_the_same(spark):
+    rows_ = [(int(k), None if at % 13 == 0 else int(at), int(v)) for k, at, v in zip(RNG.integers(0, 3, 500), RNG.integers(0, 60, 500), range(500), strict=True)]
+    df = spark.createDataFrame(rows_, "k int, at int, v int")
+    whole = sorted(map(tuple, series(df, "k", ["at", "v"], "v").collect()))
+    cut = split_points(df, "at", 5)
+    assert len(cut) == 4 and sorted(map(tuple, series(df, "k", ["at", "v"], "v", cut).collect())) == whole
+
+
+def test_synthetic_signals(spark, monkeypatch):
+    """Lengths, and the same noise and sums however rows are dealt out."""
+    assert {r.series_id: r["count"] for r in synthetic.signals(spark, n=300).groupBy("series_id").count().collect()} == dict.fromkeys(synthetic.SIGNALS, 300)
+    walk = [r.value for r in synthetic.signal(spark, "random_walk", 300).orderBy("idx").collect()]
+    monkeypatch.setattr(synthetic, "PART", 64)
+    assert np.allclose([r.value for r in synthetic.signal(spark, "random_walk", 300).orderBy("idx").collect()], walk)
+    steps = np.diff(walk, prepend=0)
+    assert abs(steps.mean()) < 0.2 and 0.85 < steps.std() < 1.15
+    edge = [r.value for r in synthetic.signal(spark, "edge_cases").orderBy("idx").collect()]
+    assert len(edge) == 100 and np.isnan(edge[0]) and edge[1] == -edge[2] == np.inf and 0 < edge[4] < edge[3] and edge[5] == -edge[4] and not any(edge[6:])
+
+
+def test_range_scans_lose_no_rows(spark):
+    """A window with values that aren't finite is looked into."""
+    y = np.arange(100.0)
+    y[7], y[50], y[51] = np.nan, np.inf, -np.inf
+    t = windows.compress(rows(spark, a=y), 100)
+    near = lambda df: sorted(round(r.value) if np.isfinite(r.value) else r.value for r in df.collect())
+    assert near(windows.scan(t, 0, 100, 0, 20)) == [v for v in range(21) if v != 7]
+    assert near(windows.scan(t, 0, 100, lowest=98)) == [98, 99, np.inf] and near(windows.scan(t, 0, 100, highest=1)) == [-np.inf, 0, 1]
+    assert near(windows.scan(t, 5, 9)) == sorted([5, 6, np.nan, 8], key=lambda v: (v != v, v)) or windows.scan(t, 5, 9).count() == 4
+
+
+def test_lost_samples_are_seen(spark):
+    a = rows(spark, x=np.arange(100.0), y=np.arange(5.0), z=[np.nan])
+    got = {r.series_id: r for r in windows.errors(a, a.filter("idx < 10")).collect()}
+    assert (got["x"].n, got["x"].missing, got["x"].max_error) == (100, 90, None)
+    assert (got["y"].missing, got["y"].max_error, got["y"].mae) == (0, 0.0, 0.0) and (got["z"].missing, got["z"].max_error) == (0, 0.0)
+    more = {r.series_id: r for r in windows.errors(a.filter("idx < 10"), a).collect()}
+    assert (more["x"].missing, more["x"].rmse) == (90, None)
+
+
+def test_errors_by_hand(spark):
+    a, b = rows(spark, x=[1.0, 2.0, np.nan, 4.0]), rows(spark, x=[1.0, 2.5, 0.0, 3.0])
+    r = windows.errors(a, b).first()
+    assert (r.n, r.missing, r.max_error, r.mae) == (4, 0, 1.0, 0.5) and abs(r.rmse - np.sqrt(1.25 / 3)) < 1e-12
+
+
+def test_command_line_without_bound(spark, tmp_path):
+    y = np.round(RNG.normal(size=400).cumsum() * 100, 3)
+    (tmp_path / "in.bin").write_bytes(y.astype("<f8").tobytes())
+    for name, more in (("held", []), ("free", ["--precision", "8", "--no-bound"])):
+        main(["compress", str(tmp_path / "in.bin"), str(tmp_path / name), *more])
+        back = files.unpack_containers(files.read_files(spark, str(tmp_path / name), "tmk")).orderBy("idx").toPandas()["value"]
+        assert (np.abs(back - y).max() < C.BOUND) == (name == "held")
