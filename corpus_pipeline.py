@@ -17,27 +17,30 @@ from tidemark.llm.common import shared_root
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under 0.7 stay."""
+    """Documents that score under 0.7 stay, null and empty texts among them; repeated rows are decided alike, and without
+    labels all stay. An empty table gives an empty one, here and in each stage."""
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id stays."""
+    """Of equal texts the row with the largest id stays, one without an id only if none has any; null counts as empty."""
     return exact_dedup.exact_dedup(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a similarity of 0.8 on five-word shingles the row with the smallest id stays."""
+    """Of each group linked by a similarity of 0.8 on five-word shingles the row with the smallest id stays, one without an
+    id only if none has any; texts without words stay."""
     return near_dedup.near_dedup(docs, words=5, percent=80)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The blocks that the mixture takes, a row for each pass over a document."""
+    """The blocks that the mixture takes, a row for each pass over a document; texts without words go, as they hold no
+    block. A null source is a source."""
     return mixing.mixed_documents(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, their number, and what they decode to."""
+    """Token ids of every text, their number, and what they decode to; a null text counts as empty."""
     return bpe.encode(docs)
 
 
