@@ -436,7 +436,7 @@ def test_nearest_of_odd_rows(spark):
     """By brute force: no id, repeated ids, huge and tiny values, and vectors of another length."""
     rng = np.random.default_rng(4)
     rows = [(n, (v * 10.0 ** rng.integers(-3, 3)).tolist()) for n, v in enumerate(rng.normal(size=(60, 4)))]
-    rows += [(None, [1.0, 2.0, 3.0, 4.0]), (20, [9.0, -9.0, 1.0, 0.5]), (20, [9.0, -9.0, 1.0, 0.5]), (40, [1e200, -1e200, 1e150, 0.0]), (41, [1e200, 1e200, 0.0, 1.0]), (42, [5e-324, 0.0, 0.0, 0.0]), (60, [1.0, 2.0]), (61, [0.0] * 4), (62, [math.inf, 0.0, 0.0, 0.0])]
+    rows += [(None, [1.0, 2.0, 3.0, 4.0]), (20, [9.0, -9.0, 1.0, 0.5]), (20, [9.0, -9.0, 1.0, 0.5]), (40, [1e200, -1e200, 1e150, 0.0]), (41, [1e200, -1.0, 0.0, 1.0]), (42, [5e-324, 0.0, 0.0, 0.0]), (60, [1.0, 2.0]), (61, [0.0] * 4), (62, [math.inf, 0.0, 0.0, 0.0])]
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect())
     part = [(i, v) for i, v in rows if i is not None and len(v) == 4 and any(v) and all(map(math.isfinite, v))]
     want = []
