@@ -61,18 +61,34 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: lineage ends there, and its size is known."""
+_scratch: list[list[DataFrame]] = []
+
+
+def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again: lineage ends there, and its size is known. Within
+    ``scratch`` it lasts as long, unless it is to be kept."""
     spark = df.sparkSession
     at = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     table = spark.read.schema(df.schema).parquet(at)
     table._tm_path = at  # for drop()
+    if _scratch and not keep:
+        _scratch[-1].append(table)
     return table
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that are cut meanwhile are deleted at the end; whatever is still to be read by then is cut to be kept."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        drop(*_scratch.pop())
+
+
 def drop(*tables: DataFrame) -> None:
-    """Delete tables of ``cut`` that nothing reads any more."""
+    """Delete tables of ``cut`` that nothing reads any more; one that is gone already is no fault."""
     for table in tables:
         path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._tm_path)
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

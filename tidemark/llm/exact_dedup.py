@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, drop, named, packed, prepare, unpacked
+from tidemark.llm.common import cut, named, packed, prepare, scratch, unpacked
 
 #: Counters of a Misra-Gries summary, and the most winners that are broadcast.
 COUNTERS = 512
@@ -83,7 +83,7 @@ def frequent(rows: DataFrame, counters: int) -> DataFrame:
         .filter("__tm_lo = __tm_hi and __tm_size > 1")
         .select("__tm_sha", "__tm_keep", "__tm_size")
     )
-    return cut(exact, "winners")
+    return cut(exact, "winners", keep=True)
 
 
 def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", counters: int = COUNTERS) -> DataFrame:
@@ -115,9 +115,8 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", coun
 def exact_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", counters: int = COUNTERS) -> DataFrame:
     """The rows of ``df`` that stay, with their columns unchanged."""
     prepare(df)
-    rows = digests(df, doc_id, text)
-    winners = frequent(rows, counters)
-    drop(rows)
+    with scratch():
+        winners = frequent(digests(df, doc_id, text), counters)
     marked = packed(df, __tm_id=named(doc_id), __tm_sha=F.unhex(F.sha2(_text(text), 256))).join(F.broadcast(winners), "__tm_sha", "left")
     left = marked.filter(F.col("__tm_size").isNull() | F.col("__tm_id").eqNullSafe(F.col("__tm_keep")))
     order = Window.partitionBy("__tm_sha").orderBy(F.col("__tm_id").desc_nulls_last())

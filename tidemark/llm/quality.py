@@ -8,8 +8,9 @@ never at lang, source or id.
 Fitting uses a bounded sample: about ``SAMPLE_ROWS`` documents, those whose id hashes lowest. Scoring reads every
 whole text.
 
-Defined results: null and empty texts get the votes of an empty text (bad); without rows to fit, the scorer is the
-vote of the labellers at their prior accuracy; repeated rows each get their row; an empty table gives an empty table.
+Defined results: null and empty texts are scored as the empty text; without rows to fit, every score is 0.5, and every
+row is kept; repeated rows each get their row; other columns, whatever their names, are not read; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations

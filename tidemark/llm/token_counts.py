@@ -1,13 +1,14 @@
 """Token counts of a unigram segmentation, shared along a trie of pre-tokens.
 
-The pieces of a vocabulary file are the tokens; a piece's log probability is -ln(2 + its rank in the file), as the
-file has ranks and no probabilities. A text is cut at white space, each word led by the word mark; its best
+The pieces of a vocabulary file are the tokens; a piece's log probability is -ln(2 + its rank in the file), Zipf's law, as
+the file has ranks and no probabilities, and tokenizers are not trained here. A text is cut at white space, each word led by the word mark; its best
 segmentation has the greatest sum. Distinct pre-tokens go into a trie, and the forward score (best sum, and the
 tokens in it) of a prefix is computed once for all words that begin with it; the node at which a word ends stores
 its count. A character that no piece covers counts as its UTF-8 bytes, each at the log probability of the last rank.
 
 Ties: of equal sums the fewer tokens, then the longer last token. Defined results: a null or empty text has 0
-tokens; texts of any length are counted whole; repeated rows each get their row.
+tokens; texts of any length are counted whole; repeated rows each get their row; other columns, whatever their names, are
+not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations

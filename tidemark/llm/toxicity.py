@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, fold, held_out, named, prepare, sample_by_hash, worker_memory
+from tidemark.llm.common import cut, fold, held_out, named, prepare, sample_by_hash, scratch, worker_memory
 
 SAMPLE_ROWS = 8000
 THRESHOLD = 0.7
@@ -281,6 +281,11 @@ def sample(df: DataFrame, labels: DataFrame, doc_id: str, text: str, rows: int)
 
 
 def learn(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS) -> Lexicon:
+    with scratch():  # the sample's tables
+        return _learned(df, labels, doc_id, text, rows)
+
+
+def _learned(df: DataFrame, labels: DataFrame, doc_id: str, text: str, rows: int) -> Lexicon:
     some = sample(df, labels, doc_id, text, rows)
     n = {r[0]: r[1] for r in some.groupBy("__tm_toxic").count().collect()}
     # a small sample asks for as many documents as a large one, as far as it has them: chance and copies make a few
