@@ -208,8 +208,8 @@ def test_common_passages_do_not_chain_texts(spark, monkeypatch):
     for name in ("cut",):
         real = getattr(near_dedup, name)
 
-        def spy(table, what, real=real):
-            out = real(table, what)
+        def spy(table, what, real=real, **more):
+            out = real(table, what, **more)
             if what in ("pairs", "members"):
                 seen[what] = seen.get(what, 0) + out.count()
             return out
