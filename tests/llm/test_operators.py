@@ -230,6 +230,29 @@ def test_unlike_members_of_a_table_meet_again(spark, monkeypatch):
     assert all(sorted((a[0], b[0])) in ([1, 2], [3, 4]) for a, b in found)
 
 
+@pytest.mark.parametrize("crowd", [4096, 5])
+def test_all_alike_members_of_one_table_meet(spark, monkeypatch, crowd):
+    """One table holds a chain of sets, each alike to its neighbours only, and many twins unlike all others: however many
+    sets the member that all are held against is unlike, every link is found, in one crowd or in several."""
+    monkeypatch.setattr(near_dedup, "CROWD", crowd)
+    rnd = random.Random(3)
+    chain = [[1] * n + [0] * (40 - n) for n in range(0, 41, 4)]
+    twins = [[rnd.randrange(2, 250) for _ in range(40)] for _ in range(15)]
+    sketches = [*chain, *twins, *(t[:-3] + [0, 0, 0] for t in twins)]
+    rows = [(bytes([n]), bytes(x), [7, n % 3]) for n, x in enumerate(sketches)]
+    rnd.shuffle(rows)
+    held = spark.createDataFrame(rows, "__tm_set binary, __tm_sketch binary, __tm_values array<long>")
+    alike = lambda x, y: sum(p == q for p, q in zip(x, y, strict=True)) >= 36
+    want = [(a, b) for a in range(len(sketches)) for b in range(a) if alike(sketches[a], sketches[b])]
+    assert len(want) == 10 + 15
+    family = {}
+    for r in near_dedup._alike(held.selectExpr("__tm_set", "5L as __tm_key"), held, 36).collect():
+        a, b = family.setdefault(r.a[0], {r.a[0]}), family.setdefault(r.b[0], {r.b[0]})
+        for n in a | b:
+            family[n] = a | b
+    assert {frozenset(f) for f in family.values()} == {frozenset(range(11)), *(frozenset((11 + n, 26 + n)) for n in range(15))}
+
+
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), min_size=1, max_size=40))
 def test_components(spark, edges):

@@ -8,10 +8,13 @@ miss at the threshold, ``MISS``.
 1. Equal sets count once, whatever their number: a representative stands for them.
 2. Half-keys that only one representative has cannot meet anything and are dropped before pairs are formed.
 3. In each table key every member is held against one member by their sketches, a byte of each minhash: pairs at the
-   threshold agree in at least ``least_shared`` bytes, pairs that share a passage alone seldom do. Members that are not
-   like that one meet again in new tables, one for each set that they are unlike and each half-key they have; so it goes
-   ``LEVELS`` times in all. So the pairs looked at are at most as many as table rows, however many sets share a key, and
-   common passages don't chain sets into one family.
+   threshold agree in at least ``least_shared`` bytes, pairs that share a passage alone seldom do. So the pairs looked at
+   are at most as many as table rows, however many sets share a key, and common passages don't chain sets into one
+   family. Sets that are alike, directly or over others, need no more meetings among themselves. All others that were
+   held against the same member meet in full: each pair that has a half-key in common with that member and isn't of one
+   family already is held against each other, in crowds of about ``CROWD`` x ``CROWD`` sets, each in a task of its own,
+   and a crowd gives a spanning forest of what is alike. Bytes that differ are a metric, so a pair whose distances from
+   that member are further apart than alike sets can be is settled without a look.
 4. Sets that are alike, directly or over others, form a family (connected components). In each family the member with
    most shared half-keys is the hub; all members are verified against it. Those not linked to it are verified against
    the whole family in blocks of about ``BLOCK`` x ``BLOCK`` sets, each block in a task of its own; a block gives a
@@ -20,8 +23,7 @@ miss at the threshold, ``MISS``.
 5. Links form the components that are returned.
 
 No table, family or group is capped, and no pairs of a group are emitted. What can be lost: a pair at the threshold
-that meets in no table (``MISS``), or in all of whose common tables, of each level, the member that both are held
-against is unlike one of them; on average a pair at the threshold has over fifty common tables.
+that meets in no table (``MISS``), or whose sketches agree in fewer bytes than ``least_shared`` (a tenth of that).
 
 Defined results: letters A-Z are lowered, words are runs of characters other than ASCII white space; a text of fewer
 words than a shingle is one shingle; null, empty and blank texts have no shingles and link with nothing; rows that
@@ -34,7 +36,6 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,9 +49,8 @@ from tidemark.llm.components import connected_components
 MISS = 1e-4
 #: Minhashes of a half-key.
 HALF = 4
-#: Times that sets are dealt into tables.
-LEVELS = 2
-BLOCK = 48
+#: Sets of a block of full sets, and of a crowd of sketches.
+BLOCK, CROWD = 48, 4096
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 
 
@@ -199,36 +199,83 @@ def _table_keys(m: int):
 
 
 def _compared(least: int):
+    """Bytes in which two sketches differ, and in how many those of alike sets may."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array((one == two).sum(axis=1) >= least)], ["a", "b", "__tm_like"])
+                one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (3, 4))
+                reach = np.full(batch.num_rows, one.shape[1] - least, np.int32)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array((one != two).sum(axis=1).astype(np.int32)), pa.array(reach)], ["a", "b", "__tm_halves", "__tm_apart", "__tm_reach"])
+
+    return run
+
+
+def _crowds(least: int):
+    """Links that join the families of one crowd: of each half-key, all sets outside its largest family against all."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names, families = table.column("a").to_pylist(), table.column("__tm_family").to_pylist()
+        low, high = table.column("__tm_one")[0].as_py(), table.column("__tm_two")[0].as_py()
+        block, apart = (table.column(c).to_numpy() for c in ("__tm_block", "__tm_apart"))
+        sketch = np.frombuffer(b"".join(table.column("__tm_sketch").to_pylist()), np.uint8).reshape(len(names), -1)
+        reach = sketch.shape[1] - least
+        number = {f: n for n, f in enumerate(dict.fromkeys(families))}
+        label = np.array([number[f] for f in families])
+        halves = table.column("__tm_halves").to_pylist()
+        at, value = np.repeat(np.arange(len(names)), [len(h) for h in halves]), np.array([v for h in halves for v in h], np.int64)
+        order = np.lexsort((apart[at], value))
+        at, value = at[order], value[order]
+        links = []
+        for rows in np.split(at, np.flatnonzero(np.diff(value)) + 1):
+            kinds, sizes = np.unique(label[rows], return_counts=True)
+            if len(kinds) < 2:
+                continue
+            far, done = apart[rows], np.zeros(len(names), bool)
+            for x in rows[label[rows] != kinds[sizes.argmax()]].tolist():
+                done[x] = True
+                lo, hi = np.searchsorted(far, [apart[x] - reach, apart[x] + reach + 1])
+                y = rows[lo:hi]
+                y = y[(label[y] != label[x]) & ~done[y] & ((block[y] != block[x]) | (low == high))]
+                for z in y[(sketch[y] != sketch[x]).sum(axis=1) <= reach].tolist():
+                    if label[z] != label[x]:
+                        links.append((names[x], names[z]))
+                        label[label == label[z]] = label[x]
+        return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([x for _, x in links], pa.binary())})
 
     return run
 
 
 def _alike(tables: DataFrame, held: DataFrame, least: int) -> DataFrame:
-    """(a, b) of sets that share a table and at least ``least`` bytes of their sketches: each set against one of those in
-    its table. tables: (set, key); held: (set, sketch, half-keys)."""
-    found, tables = [], cut(tables, "rows")
-    for level in range(LEVELS):
-        # one member for each table; which one, differs between tables, so that one odd set does not stand in all of them
-        turn = F.xxhash64("__tm_set", F.pmod("__tm_key", F.lit(2)))
-        first = tables.groupBy("__tm_key").agg(F.min(F.struct(turn, "__tm_set")).alias("__tm_first"), F.count(F.lit(1)).alias("__tm_met"))
-        first = cut(first.filter("__tm_met > 1").select("__tm_key", F.col("__tm_first.__tm_set").alias("b")), "tables")
-        met = tables.join(first, "__tm_key").filter("__tm_set != b").select(F.col("__tm_set").alias("a"), "b").distinct()
-        sketch = held.select("__tm_set", "__tm_sketch")
-        pairs = met.join(sketch.toDF("a", "__tm_sa"), "a").join(sketch.toDF("b", "__tm_sb"), "b")
-        pairs = cut(pairs.select("a", "b", "__tm_sa", "__tm_sb").mapInArrow(_compared(least), "a binary, b binary, __tm_like boolean"), "pairs")
-        drop(tables, first)
-        found.append(pairs)
-        if level + 1 < LEVELS:
-            # the others meet again where they are unlike the same set and share a half-key
-            left = pairs.filter("not __tm_like").select(F.col("a").alias("__tm_set"), "b").join(held.select("__tm_set", "__tm_values"), "__tm_set")
-            left = left.select("__tm_set", "b", F.explode("__tm_values").alias("__tm_half"))
-            tables = cut(left.select("__tm_set", F.xxhash64("b", "__tm_half").alias("__tm_key")), "rows")
-    return reduce(DataFrame.unionByName, [p.filter("__tm_like").select("a", "b") for p in found]).distinct()
+    """(a, b) that span the families of sets which share a table and at least ``least`` bytes of their sketches.
+    tables: (set, key); held: (set, sketch, half-keys), of which sets that share a table have one in common."""
+    tables = cut(tables, "rows")
+    # one member for each table; which one, differs between tables, so that one odd set does not stand in all of them
+    turn = F.xxhash64("__tm_set", F.pmod("__tm_key", F.lit(2)))
+    first = tables.groupBy("__tm_key").agg(F.min(F.struct(turn, "__tm_set")).alias("__tm_first"), F.count(F.lit(1)).alias("__tm_met"))
+    first = cut(first.filter("__tm_met > 1").select("__tm_key", F.col("__tm_first.__tm_set").alias("b")), "tables")
+    met = tables.join(first, "__tm_key").filter("__tm_set != b").select(F.col("__tm_set").alias("a"), "b").distinct()
+    sketch = held.select("__tm_set", "__tm_sketch", "__tm_values")
+    pairs = met.join(sketch.toDF("a", "__tm_sa", "__tm_va"), "a").join(sketch.toDF("b", "__tm_sb", "__tm_vb"), "b")
+    pairs = pairs.select("a", "b", F.array_intersect("__tm_va", "__tm_vb").alias("__tm_halves"), "__tm_sa", "__tm_sb")
+    pairs = cut(pairs.mapInArrow(_compared(least), "a binary, b binary, __tm_halves array<long>, __tm_apart int, __tm_reach int"), "pairs")
+    drop(tables, first)
+    family = connected_components(pairs.filter("__tm_apart <= __tm_reach").select("a", "b"))
+    rest = pairs.join(family.toDF("a", "__tm_family"), "a", "left").join(family.toDF("b", "__tm_other"), "b", "left")
+    rest = rest.withColumn("__tm_family", F.coalesce("__tm_family", "a")).withColumn("__tm_other", F.coalesce("__tm_other", "b"))
+    rest = cut(rest, "rest")
+    # of b's own family those stay that may be alike to the nearest set of another one
+    near = rest.filter("__tm_family != __tm_other").groupBy("b").agg(F.min("__tm_apart").alias("__tm_near"))
+    rest = rest.join(near, "b").filter("__tm_family != __tm_other or __tm_apart + __tm_reach >= __tm_near")
+    rest = cut(rest.select("a", "b", "__tm_family", "__tm_apart", "__tm_halves"), "rest")
+    sizes = rest.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("__tm_crowds"), (F.min("__tm_family") != F.max("__tm_family")).alias("__tm_mixed"))
+    dealt = rest.join(sizes.filter("__tm_mixed").select("b", "__tm_crowds"), "b").join(held.select(F.col("__tm_set").alias("a"), "__tm_sketch"), "a")
+    dealt = dealt.withColumn("__tm_block", F.pmod(F.xxhash64("a"), "__tm_crowds").cast("int")).withColumn("__tm_partner", F.explode(F.sequence(F.lit(0), F.col("__tm_crowds") - 1)))
+    dealt = dealt.select(
+        "b", F.least("__tm_block", "__tm_partner").alias("__tm_one"), F.greatest("__tm_block", "__tm_partner").alias("__tm_two"), "a", "__tm_block", "__tm_family", "__tm_apart", "__tm_halves", "__tm_sketch"
+    )
+    more = cut(dealt.groupBy("b", "__tm_one", "__tm_two").applyInArrow(_crowds(least), "a binary, b binary"), "met")
+    return family.filter("node != label").toDF("a", "b").unionByName(more)
 
 
 def _full_sets(words: int):
@@ -321,9 +368,10 @@ def _links(texts: DataFrame, rows: DataFrame, words: int, percent: int, m: int)
     shared = cut(halves.groupBy("__tm_side", "__tm_key").agg(F.count(F.lit(1)).alias("__tm_met")).filter("__tm_met > 1").select("__tm_side", "__tm_key"), "shared")
     kept = halves.join(shared, ["__tm_side", "__tm_key"])
     # at most 2 m half-keys a set
-    own = cut(kept.groupBy("__tm_set").agg(F.collect_list("__tm_side").alias("__tm_sides"), F.collect_list("__tm_key").alias("__tm_values")), "half-keys")
+    first = F.when(F.col("__tm_side") < m, F.col("__tm_key"))  # sets that share a table share one of collection A
+    own = cut(kept.groupBy("__tm_set").agg(F.collect_list("__tm_side").alias("__tm_sides"), F.collect_list("__tm_key").alias("__tm_values"), F.collect_list(first).alias("__tm_first")), "half-keys")
     tables = own.select("__tm_set", "__tm_sides", "__tm_values").mapInArrow(_table_keys(m), "__tm_set binary, __tm_key long")
-    held = own.select("__tm_set", "__tm_values").join(reps.select("__tm_set", "__tm_sketch"), "__tm_set")
+    held = own.select("__tm_set", F.col("__tm_first").alias("__tm_values")).join(reps.select("__tm_set", "__tm_sketch"), "__tm_set")
     family = connected_components(_alike(tables, held, least_shared(percent / 100, 2 * m * HALF)))
     degree = own.select("__tm_set", F.size("__tm_sides").alias("__tm_degree"))
     members = family.select(F.col("node").alias("__tm_set"), F.col("label").alias("__tm_family"))
