@@ -260,7 +260,7 @@ def _alike(tables: DataFrame, held: DataFrame, least: int) -> DataFrame:
     pairs = pairs.select("a", "b", F.array_intersect("__tm_va", "__tm_vb").alias("__tm_halves"), "__tm_sa", "__tm_sb")
     pairs = cut(pairs.mapInArrow(_compared(least), "a binary, b binary, __tm_halves array<long>, __tm_apart int, __tm_reach int"), "pairs")
     drop(tables, first)
-    family = connected_components(pairs.filter("__tm_apart <= __tm_reach").select("a", "b"))
+    family = connected_components(pairs.filter("__tm_apart <= __tm_reach").select("a", "b")).select("node", "label")
     rest = pairs.join(family.toDF("a", "__tm_family"), "a", "left").join(family.toDF("b", "__tm_other"), "b", "left")
     rest = rest.withColumn("__tm_family", F.coalesce("__tm_family", "a")).withColumn("__tm_other", F.coalesce("__tm_other", "b"))
     rest = cut(rest, "rest")
