@@ -245,11 +245,14 @@ def test_all_alike_members_of_one_table_meet(spark, monkeypatch, crowd):
     alike = lambda x, y: sum(p == q for p, q in zip(x, y, strict=True)) >= 36
     want = [(a, b) for a in range(len(sketches)) for b in range(a) if alike(sketches[a], sketches[b])]
     assert len(want) == 10 + 15
+    real, rest = near_dedup.cut, []
+    monkeypatch.setattr(near_dedup, "cut", lambda t, what, **more: [out := real(t, what, **more), rest.append(out.count()) if what == "rest" else None][0])
     family = {}
     for r in near_dedup._alike(held.selectExpr("__tm_set", "5L as __tm_key"), held, 36).collect():
         a, b = family.setdefault(r.a[0], {r.a[0]}), family.setdefault(r.b[0], {r.b[0]})
         for n in a | b:
             family[n] = a | b
+    assert rest and max(rest) < len(rows)  # a row for each set that the first was held against
     assert {frozenset(f) for f in family.values()} == {frozenset(range(11)), *(frozenset((11 + n, 26 + n)) for n in range(15))}
 
 
